@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 TIER_WEIGHTS = {"MASTER": 1.0, "SPEC": 0.8, "ADR": 0.6, "USER": 0.3}
 STABILITY = {"stable": 1.0, "active": 0.8, "draft": 0.4, "deprecated": 0.1}
@@ -116,7 +117,7 @@ def jaro_winkler_many(one: str, strings: list[str]) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + 0.1 * same * (1 - jaro), jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Row by row; rows with the same left side are computed together."""
     out = pd.Series(np.nan, index=a.index)

@@ -68,9 +68,9 @@ def supersede_edges(edges: DataFrame, new: DataFrame, at) -> DataFrame:
     return j.select(*edges.columns).unionByName(new.select(*edges.columns))
 
 
-def versions(rows: DataFrame, order: str = "valid_from") -> DataFrame:
+def versions(rows: DataFrame, *ties: str) -> DataFrame:
     """History from rows that only say since when they hold: each ends where the next of its id begins."""
-    return rows.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("id").orderBy(order)))
+    return rows.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("id").orderBy("valid_from", *ties)))
 
 
 def at_times(history: DataFrame, times: DataFrame) -> DataFrame:

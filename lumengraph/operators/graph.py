@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..runtime import checkpointed
+from ..runtime import checked_broadcast, checkpointed
 from . import filters
 
 STEP = "seed string, id string, depth int, path array<string>"
@@ -38,15 +38,16 @@ def neighbors(
     """
     spark = nodes.sparkSession
     walk = steps(filters.as_of(filters.relations(edges, rel, rels), as_of, include_invalid), direction)
-    there = filters.as_of(nodes, as_of, include_invalid).select(F.col("id").alias("to")).distinct()
-    walk = walk.join(there, "to", "left_semi")
+    there = filters.as_of(nodes, as_of, include_invalid).select("id").distinct()
     frontier = as_seeds(spark, seeds).select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
     levels, seen, at = [], frontier.select("seed", "id"), 0
     while depth is None or at < depth:
         at += 1
-        found = frontier.join(walk, frontier.id == walk.at).select("seed", F.col("to").alias("id"), F.lit(at).alias("depth"), F.concat("path", F.array("edge")).alias("path"))
-        found = found.join(seen, ["seed", "id"], "left_anti").groupBy("seed", "id", "depth").agg(F.min("path").alias("path"))
-        frontier = checkpointed(found)
+        # A small frontier goes to the edges, which then needn't move; a large one meets them by shuffle.
+        found = checked_broadcast(frontier).join(walk, frontier.id == walk.at).select("seed", F.col("to").alias("id"), F.lit(at).alias("depth"), F.concat("path", F.array("edge")).alias("path"))
+        found = checkpointed(found.join(seen, ["seed", "id"], "left_anti").groupBy("seed", "id", "depth").agg(F.min("path").alias("path")))
+        exists = there.join(checked_broadcast(found.select("id").distinct()), "id", "left_semi")
+        frontier = checkpointed(found.join(exists, "id", "left_semi").select("seed", "id", "depth", "path"))
         if not frontier.limit(1).count():
             break
         levels.append(frontier)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.scalar import jaro_winkler_many
 from ..runtime import at_most
 
 THRESHOLD = 0.20
@@ -48,7 +49,7 @@ def resolve(ids: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) ->
                     near = [k for k, s in enumerate(sets) if not wanted.isdisjoint(s)]
                     if near:
                         some = [names[k] for k in near]
-                        score = scalar.jaro_winkler_many(text, some)
+                        score = jaro_winkler_many(text, some)
                         best = score.max()
                         rows.append((text, min(some[k] for k in np.flatnonzero(score == best)), 2.0 if text in some else best))
                         if text in some:

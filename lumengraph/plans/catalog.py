@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import base, on_graph, on_sync, on_tables, on_vectors  # noqa: F401
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Importance of every node of the business graph: one aggregate over all edges, one join."""
+    return base.QUERIES["a2_impact"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracles():
-    return {}
+    return dict(base.ORACLES)

@@ -9,7 +9,6 @@ from .. import schema
 from ..operators import sync
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,7 +45,8 @@ def events(lines: DataFrame) -> DataFrame:
     v = v.select("position", inner.alias("e"), get(F.col("v"), "$.signer_peer_id").alias("signer"), get(F.col("v"), "$.signature").alias("signature"))
     nodes, edges = (F.coalesce(F.try_variant_get("e", f"$.Batch.{k}", "array<variant>"), F.array().cast("array<variant>")) for k in ("nodes", "edges"))
     single = lambda kind: F.filter(F.array(F.try_variant_get("e", f"$.{kind}", "variant")), lambda x: x.isNotNull())
-    unfolded = F.concat(*(F.transform(F.concat(single(kind), more), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("p"))) for kind, more in (("Node", nodes), ("Edge", edges), ("Delete", F.array().cast("array<variant>")))))
+    tagged = lambda kind, more: F.transform(F.concat(single(kind), more), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("p")))
+    unfolded = F.concat(tagged("Node", nodes), tagged("Edge", edges), tagged("Delete", F.array().cast("array<variant>")))
     out = v.select("position", "signer", "signature", F.posexplode(unfolded).alias("sub", "x"))
     p = F.col("x.p")
     return out.select(
