@@ -21,8 +21,9 @@ from . import common
 
 ORDER = 4
 DOCS_PER_LANG = 200
-#: A text is rejected if even its best language spends more bits than this on a byte; 8 is what knowing nothing costs.
-MAX_BITS_PER_BYTE = 8.0
+#: A text is rejected if even its best language spends more bits than this on a byte, 8 being what knowing nothing costs, and
+#: SLACK_BITS more on the whole: a few bytes are no evidence against a text.
+MAX_BITS_PER_BYTE, SLACK_BITS = 8.0, 64
 UNIT = 1024
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,7 +168,7 @@ class Model:
         best = bits.argmin(axis=1)
         low = bits[np.arange(n), best]
         rest = np.partition(bits, 1, axis=1)[:, 1] if len(self.langs) > 1 else low
-        ok = (size > 0) & (low <= max_bits_per_byte * UNIT * size)
+        ok = (size > 0) & (low <= (max_bits_per_byte * size + SLACK_BITS) * UNIT)
         return {
             "language": [self.langs[b] if s else "und" for b, s in zip(best, size)],
             "bits": [x / UNIT if s else None for x, s in zip(low.tolist(), size)],
