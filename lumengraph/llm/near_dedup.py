@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, THRESHOLD = 3, 0.6
-BANDS, ROWS = 32, 4
+SHINGLE, THRESHOLD = 3, 0.55
+BANDS, ROWS = 40, 4
 RING, SEED = 20, 5
 #: Words whose hashes a worker keeps before it starts anew; results don't depend on it.
 MAX_WORDS = 300_000
