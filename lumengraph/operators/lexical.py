@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.scalar import jaro_winkler_many
-from ..runtime import at_most
+from ..runtime import block_pairs, in_blocks
 
 THRESHOLD = 0.20
-QUERY_BLOCK = 1000
+#: Rows of a block of ids or of queries.
+BLOCK = 2048
 
 
 def postings(ids: DataFrame) -> DataFrame:
@@ -27,36 +28,32 @@ def interned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").union(edges.select("id")).union(edges.select("src")).union(edges.select("dst")).distinct()
 
 
-def resolve(ids: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def resolve(ids: DataFrame, queries: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(query, id, score): the id itself where it exists; else the most similar (Jaro-Winkler) of those that share a token, if above the threshold; ties by id.
 
-    Tokens are single characters too, so nearly every id is a candidate: the queries go to the ids, a block at a time, and one row a query
-    leaves each batch.
+    Tokens are single characters too, so nearly every id is a candidate: ids and queries are gathered into blocks, every pair of
+    blocks is compared, and one row a query leaves it.
     """
-    spark = ids.sparkSession
-    q = queries.select(F.col(queries.columns[0]).alias("query")).where("query IS NOT NULL").distinct().withColumn("q_tokens", scalar.tokens(F.col("query")))
-    n = 1 if at_most(q, QUERY_BLOCK) else q.count() // QUERY_BLOCK + 1
-    own = ids.select("id").where("id IS NOT NULL").withColumn("tokens", scalar.tokens(F.col("id")))
-    out = None
-    for i in range(n):
-        block = [(r.query, set(r.q_tokens)) for r in q.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).orderBy("query").collect()]
-
-        def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                names, sets = f["id"].tolist(), [set(t) for t in f["tokens"]]
-                rows = []
-                for text, wanted in block:
-                    near = [k for k, s in enumerate(sets) if not wanted.isdisjoint(s)]
-                    if near:
-                        some = [names[k] for k in near]
+    q = queries.select(F.col(queries.columns[0]).alias("text")).where("text IS NOT NULL").distinct().withColumn("tokens", scalar.tokens(F.col("text")))
+    own = ids.select(F.col("id").alias("text")).where("text IS NOT NULL").withColumn("tokens", scalar.tokens(F.col("text")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for left, right in zip(f["left"], f["right"]):
+                names, sets, out = [r["text"] for r in left], [set(r["tokens"]) for r in left], []
+                known = set(names)
+                for r in right:
+                    text, wanted = r["text"], set(r["tokens"])
+                    if text in known:
+                        out.append((text, text, 2.0))
+                        continue
+                    some = [n for n, s in zip(names, sets) if not wanted.isdisjoint(s)]
+                    if some:
                         score = jaro_winkler_many(text, some)
                         best = score.max()
-                        rows.append((text, min(some[k] for k in np.flatnonzero(score == best)), 2.0 if text in some else best))
-                        if text in some:
-                            rows[-1] = (text, text, 2.0)
-                yield pd.DataFrame(rows, columns=["query", "id", "score"])
-
-        part = own.mapInPandas(run, "query string, id string, score double")
-        out = part if out is None else out.union(part)
-    best = out.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("query", F.col("b.id").alias("id"), F.least(-F.col("b.s"), F.lit(1.0)).alias("score"))
+                        out.append((text, min(some[i] for i in np.flatnonzero(score == best)), best))
+                yield pd.DataFrame(out, columns=["query", "id", "score"])
+
+    found = block_pairs(in_blocks(own, block), in_blocks(q, block)).mapInPandas(run, "query string, id string, score double")
+    best = found.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("query", F.col("b.id").alias("id"), F.least(-F.col("b.s"), F.lit(1.0)).alias("score"))
     return best.where(F.col("score") > threshold)

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar, vector
-from ..runtime import at_most
+from ..functions import vector
+from ..runtime import block_pairs, in_blocks
 from . import filters
 
-#: Queries up to which they go to every task as one matrix; more are taken in blocks of this size.
-QUERY_BLOCK = 4096
+#: Rows of a block, whose product with another is one matrix of this side.
+BLOCK = 2048
 
 
 def nearest(vectors: DataFrame, query, k: int, squared: bool = False) -> DataFrame:
@@ -67,50 +67,38 @@ def conflicts(vectors: DataFrame, nodes: DataFrame, query, labels: list[str]) ->
     return bool(hits.where((F.col("score") > 0.8) & (F.col("labels") != own) & F.array_contains("labels", "MASTER")).limit(1).count())
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, node_id, dist, rank): the k nearest of vectors (node_id, embedding) to each of queries (query_id, embedding), exact.
 
-    The queries go to the tasks as a matrix, block by block; each batch of vectors is held against it in numpy and
-    only its k best a query leave the task. Ties go by id.
+    Both sides are gathered into blocks, and each pair of blocks is one matrix product in numpy, of which only the k best a query go on.
+    Vectors meet queries of their own length only. Ties go by id.
     """
-    spark, out = vectors.sparkSession, None
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    if at_most(q, QUERY_BLOCK):
-        blocks = [q.orderBy("query_id").collect()]
-    else:
-        n = q.count() // QUERY_BLOCK + 1
-        hashed = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-        blocks = (hashed.where(F.col("b") == i).orderBy("query_id").drop("b").collect() for i in range(n))
     kinds = dict(vectors.dtypes)["node_id"], dict(queries.dtypes)["query_id"]
-    for rows in blocks:
-        if not rows:
-            continue
-        ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            length = np.einsum("qd,qd->q", matrix, matrix)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own, width = b.column(0), matrix.shape[1]
-                v = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width)
-                names = np.array(own.to_pylist())
-                d = length[:, None] - 2 * matrix @ v.T + np.einsum("nd,nd->n", v, v)[None]
-                # A rounded distance finds the candidates; those within its error of the kth are measured exactly.
-                kk = min(k, len(v))
-                bound = np.partition(d, kk - 1, axis=1)[:, kk - 1] + 1e-9 * (1 + length)
-                qi, vi = np.nonzero(d <= bound[:, None])
-                exact = np.sqrt(np.square(v[vi] - matrix[qi]).sum(axis=1))
-                order = np.lexsort((names[vi], exact, qi))
-                qi, vi, exact = qi[order], vi[order], exact[order]
-                first = np.searchsorted(qi, qi)
-                keep = np.arange(len(qi)) - first < kk
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi[keep]], ids_type), own.take(pa.array(vi[keep])), pa.array(exact[keep])], names=["query_id", "node_id", "dist"])
-
-        ids_type = pa.string() if kinds[1] == "string" else pa.int64()
-        part = vectors.where("embedding IS NOT NULL").select("node_id", F.col("embedding").cast("array<double>")).mapInArrow(run, f"query_id {kinds[1]}, node_id {kinds[0]}, dist double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], f"query_id {kinds[1]}, node_id {kinds[0]}, dist double")
+    v, q = (d.where(F.col("embedding").isNotNull()).select(F.col(c).alias("id"), F.col("embedding").cast("array<double>").alias("e")) for d, c in ((vectors, "node_id"), (queries, "query_id")))
+
+    def by_length(rows: pa.StructArray) -> dict[int, tuple[pa.Array, np.ndarray]]:
+        ids, e = rows.field("id"), rows.field("e")
+        sizes = np.asarray(e.value_lengths())
+        return {int(n): (ids.filter(pa.array(sizes == n)), np.asarray(e.filter(pa.array(sizes == n)).flatten(), np.float64).reshape(-1, n)) for n in np.unique(sizes) if n}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                left, right = by_length(b.column(0)[r].values), by_length(b.column(1)[r].values)
+                for n in left.keys() & right.keys():
+                    (own, m), (ids, x) = left[n], right[n]
+                    names, length = np.array(own.to_pylist()), np.einsum("qd,qd->q", x, x)
+                    d = length[:, None] - 2 * x @ m.T + np.einsum("nd,nd->n", m, m)[None]
+                    # A rounded distance finds the candidates; those within its error of the kth are measured exactly.
+                    kk = min(k, len(m))
+                    bound = np.partition(d, kk - 1, axis=1)[:, kk - 1] + 1e-9 * (1 + length)
+                    qi, vi = np.nonzero(d <= bound[:, None])
+                    exact = np.sqrt(np.square(m[vi] - x[qi]).sum(axis=1))
+                    order = np.lexsort((names[vi], exact, qi))
+                    qi, vi, exact = qi[order], vi[order], exact[order]
+                    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < kk
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi[keep])), own.take(pa.array(vi[keep])), pa.array(exact[keep])], names=["query_id", "node_id", "dist"])
+
+    found = block_pairs(in_blocks(v, block), in_blocks(q, block)).mapInArrow(run, f"query_id {kinds[1]}, node_id {kinds[0]}, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "node_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

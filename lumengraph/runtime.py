@@ -32,3 +32,15 @@ def at_most(df: DataFrame, n: int) -> bool:
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """broadcast(df) if it has at most so many rows, else df itself, which then joins by shuffle."""
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+def in_blocks(df: DataFrame, size: int, most_tasks: int = 10_000) -> DataFrame:
+    """(rows): df's rows, gathered by a hash into blocks of about so many, each an array of structs."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn("_block", F.pmod(F.xxhash64(*df.columns), F.lit(n))).repartition(min(n, most_tasks), "_block").groupBy("_block").agg(F.collect_list(F.struct(*df.columns)).alias("rows")).select("rows")
+
+
+def block_pairs(left: DataFrame, right: DataFrame, few: int = 16) -> DataFrame:
+    """(left, right): every block of the one beside every block of the other. A few blocks are broadcast; more meet as a Cartesian product of tasks."""
+    r = right.select(F.col("rows").alias("right"))
+    return left.select(F.col("rows").alias("left")).crossJoin(F.broadcast(r) if at_most(r, few) else r)

@@ -56,12 +56,13 @@ def test_cosine_guards(spark):
     assert c([1.0, 0.0], [1.0, 1.0]) == pytest.approx(2**-0.5)
 
 
-def test_nearest_many_in_blocks(spark, sf, monkeypatch):
+def test_nearest_many_in_blocks(spark, sf):
     v = tables.vectors(spark, sf).select("node_id", "embedding")
+    v = v.union(spark.createDataFrame([(9001, [1.0, 2.0]), (9002, [1.0, 3.0]), (9003, []), (9004, None)], "node_id bigint, embedding array<float>"))
     q = v.withColumnRenamed("node_id", "query_id")
-    whole = search.nearest_many(v, q, 4)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 150)
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, search.nearest_many(v, q, 4).collect()))
+    whole = sorted(map(tuple, search.nearest_many(v, q, 4).collect()))
+    assert whole == sorted(map(tuple, search.nearest_many(v, q, 4, block=24).collect()))
+    assert [r[:3] for r in whole if r[0] > 9000] == [(9001, 9001, 0.0), (9001, 9002, 1.0), (9002, 9001, 1.0), (9002, 9002, 0.0)]
 
 
 def test_gaps_of_unconnected_clusters(spark):
