@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-NEIGHBOURS, DEGREE, EF_BUILD, EF_SEARCH, SHARD_ROWS, SEED = 10, 16, 64, 56, 8192, 9
+NEIGHBOURS, DEGREE, EF_BUILD, EF_SEARCH, SHARD_ROWS, SEED = 10, 24, 100, 96, 32768, 9
 _FAR = np.float32(np.inf)
 
 
@@ -198,8 +198,11 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, shard_rows: int = SHARD_ROW
     v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(seed)), per).cast("int"))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[tuple(x) for x in pdf["embedding"]]).sort_values(["vec_id", "key"]).drop_duplicates("vec_id")
-        g = build(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_list()).astype(np.float32), seed=seed)
+        ids, own = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_list()).astype(np.float32)
+        # Rows that repeat an id are ordered by their vectors, so the least comes first.
+        order = np.lexsort((*own.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
+        order = order[np.unique(ids[order], return_index=True)[1]]
+        g = build(ids[order], own[order], seed=seed)
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "ids": [g.ids.tobytes()], "vectors": [g.vectors.tobytes()], "nodes": [[x.tobytes() for x in g.nodes]], "links": [[x.tobytes() for x in g.links]]})
 
     graphs = common.checkpointed(v.groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, ids binary, vectors binary, nodes array<binary>, links array<binary>"))
