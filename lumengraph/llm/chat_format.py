@@ -47,8 +47,10 @@ def format_chat(turns: DataFrame) -> DataFrame:
     gives an empty result. Attachments are numbered from 0 in a conversation; without any the array is empty.
     """
     t = common.pick(turns, conv_id="bigint", turn="bigint", role="string", text="string")
-    t = t.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), parse(F.col("text")).alias("parts"))
-    c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "parts"))).alias("turns"))
+    t = t.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Parts are read after the shuffle, which then carries each text once.
+    c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    c = c.select("conv_id", F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), parse(t["text"]).alias("parts"))).alias("turns"))
     # One flat list of parts in order: (number of the turn, part, first or last of the turn is known from the list of sizes).
     flat = F.flatten(F.transform("turns", lambda t: F.transform(t["parts"], lambda p: F.struct(t["turn"].alias("turn"), p["type"].alias("kind"), F.coalesce(p["url"], F.lit("")).alias("ref"), part_tokens(p).alias("tokens")))))
     c = c.select("conv_id", "turns", flat.alias("flat"))
