@@ -82,5 +82,4 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def words(text) -> F.Column:
     """Number of whitespace-separated words; 0 for null and blank."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(t.isNull() | (t == ""), 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
