@@ -129,14 +129,27 @@ def communities(spark, sf_dir):
     return graph.communities(*placed(spark, sf_dir), rounds=5)
 
 
+def caused_orders(spark, sf_dir):
+    """(id, caused_by): each order is caused by the one before of its customer."""
+    return spark.sql("SELECT CAST(o_orderkey AS STRING) AS id, CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS STRING) AS caused_by FROM {o}", o=tables.table(spark, sf_dir, "orders"))
+
+
 @query("t14_causes", """WITH o AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER w AS cause, row_number() OVER w AS n, lead(o_orderkey) OVER w AS nxt, o_custkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
 SELECT CAST(s.k AS VARCHAR) AS seed, CAST(o.k AS VARCHAR) AS id, CAST(s.n - o.n AS INTEGER) AS depth FROM o s JOIN o USING (o_custkey) WHERE s.n > o.n AND s.n - o.n <= 4""")
 def causes(spark, sf_dir):
-    """Each order is caused by the one before of its customer: four steps back from every order."""
-    o = spark.sql("SELECT CAST(o_orderkey AS STRING) AS id, CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS STRING) AS caused_by FROM {o}", o=tables.table(spark, sf_dir, "orders"))
+    """Four steps back from every order; t14_causes_whole has the whole chains."""
+    o = caused_orders(spark, sf_dir)
     return graph.causes(o, o.select("id"), 4).select("seed", "id", "depth")
 
 
+@query("t14_causes_whole", """WITH o AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_custkey FROM orders)
+SELECT CAST(s.k AS VARCHAR) AS seed, CAST(o.k AS VARCHAR) AS id, CAST(s.n - o.n AS INTEGER) AS depth FROM o s JOIN o USING (o_custkey) WHERE s.n > o.n""")
+def causes_whole(spark, sf_dir):
+    """The whole chain that led to every order, back to its customer's first."""
+    o = caused_orders(spark, sf_dir)
+    return graph.causes(o, o.select("id")).select("seed", "id", "depth")
+
+
 @query("t16_cooccurrence", """WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM part),
 p AS (SELECT unnest(generate_series(1, len(w))) AS i, w FROM w), q AS (SELECT w[i] AS x, unnest(w[i + 1 : i + 3]) AS y FROM p)
 SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM q WHERE x <> y GROUP BY 1, 2""")

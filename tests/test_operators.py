@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import scalar, vector
 from lumengraph.operators import clusters, graph, search, sync
-from lumengraph.plans import hql
+from lumengraph.plans import catalog, hql
 from lumengraph.sources import tables
 from lumengraph.streaming import log
 
@@ -42,6 +42,15 @@ def test_depth_is_the_shortest_path(spark):
         assert len(path) == depth and path[0].startswith(f"{s}-") and path[-1].endswith(f"-{t}")
 
 
+def test_causes_to_the_first(spark, sf):
+    chains = {}
+    for r in sorted(tables.table(spark, sf, "orders").collect(), key=lambda r: (r.o_orderdate, r.o_orderkey)):
+        chains.setdefault(r.o_custkey, []).append(str(r.o_orderkey))
+    want = {(c[i], c[j], i - j) for c in chains.values() for i in range(len(c)) for j in range(i)}
+    assert max(d for _, _, d in want) > 4
+    assert {tuple(r) for r in catalog.queries()["t14_causes_whole"](spark, sf).collect()} == want
+
+
 def test_merge_is_order_free_and_idempotent(spark):
     row = lambda i, t, v: (i, {"time": t, "peer_id": "p"}, v)
     s = "id string, clock struct<time: bigint, peer_id: string>, v string"
