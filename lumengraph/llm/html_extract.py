@@ -25,17 +25,78 @@ from . import common
 TRAIN_PAGES, EPOCHS, HIDDEN, SEED = 240, 12, 12, 3
 PATH_DIM, WORD_DIM, SIZES = 24, 16, 5
 WIDTH = PATH_DIM + WORD_DIM + SIZES
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?![\w-])[^>]*>.*?(?:</\1\s*>|\Z)|<(head|svg|noscript|template)(?![\w-])([^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_IN_HEAD = frozenset("base basefont bgsound link meta html head".split())
+#: Tags that no drawing has outside a foreignObject, desc or title: they end an svg that was left open.
+_NOT_IN_SVG = frozenset("article aside b big blockquote body br center code dd div dl dt em embed footer form h1 h2 h3 h4 h5 h6 head header hr i img li listing main menu meta nav nobr ol p pre ruby s section small span strike strong sub sup table tt u ul var".split())
+_HOLDS_HTML = frozenset(("foreignobject", "desc", "title"))
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img input ins del kbd label mark q s samp small span strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MAIN, _CHROME = frozenset(("article", "main")), frozenset(("nav", "footer", "aside", "header"))
 _SPACE = re.compile(r"\s+")
 
 
+def skipped(page: str, m: re.Match, ends: dict[int, int]) -> int:
+    """Where the text goes on after the opening tag m of a head, svg, noscript or template. ends: what earlier calls found out by position.
+
+    A head goes on to its closing tag or what can't be in a head, an svg to its closing tag or what can't be in a drawing; of anything
+    else that is left open, and of an empty svg, only the tag is skipped.
+    """
+    if m.start() in ends:
+        return ends[m.start()]
+    name = m[2].lower()
+    if name == "head":
+        return head_end(page, m.end(), ends)
+    if name == "svg" and m[3].endswith("/"):
+        return m.end()
+    opened, holding, at = [m], 0, m.end()
+    while t := _TOKEN.search(page, at):
+        at = t.end()
+        tag = (t[2] or t[5] or "").lower()
+        if tag == name and t[4]:
+            ends[opened.pop().start()] = at
+            if not opened:
+                return at
+        elif tag == name and not (name == "svg" and t[3].endswith("/")):
+            opened.append(t)
+        elif name == "svg" and tag in _HOLDS_HTML and not t[0].endswith("/>"):
+            holding = max(0, holding + (-1 if t[4] else 1))
+        elif name == "svg" and tag in _NOT_IN_SVG and not t[4] and not holding:
+            return t.start()
+    for t in opened:
+        ends[t.start()] = t.end()
+    return m.end()
+
+
+def head_end(page: str, at: int, ends: dict[int, int]) -> int:
+    """The end of a head whose content begins at a position. Stray text is part of a head only if the closing tag comes before anything else of a body."""
+    first = None
+    while True:
+        t = _TOKEN.search(page, at)
+        between = page[at : t.start() if t else len(page)]
+        if first is None and between.strip("\ufeff \t\r\n\f"):
+            first = at
+        if not t:
+            return len(page) if first is None else first
+        at = t.end()
+        tag = (t[2] or t[5] or "").lower()
+        if tag in ("noscript", "template") and t[2]:
+            at = skipped(page, t, ends)
+        elif tag == "title" and not t[4] and (closed := _TITLE_END.search(page, at)):
+            at = closed.end()
+        elif tag == "head" and t[4]:
+            return at
+        elif t[4] and tag not in ("body", "html", "br") or tag in _IN_HEAD and not t[4] and not (tag == "head" and first is not None) or not tag:
+            continue
+        else:
+            return t.start() if first is None else first
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(tag path, text, characters inside links) by block, in document order; unclosed and stray tags are tolerated."""
     out, path, text, linked, in_link, at = [], [], [], 0, 0, 0
-    page = page or ""
+    page, ends = page or "", {}
 
     def flush():
         nonlocal linked
@@ -52,27 +113,27 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if in_link:
                 linked += len(s.strip())
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         take(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+        at = skipped(page, m, ends) if m[2] else m.end()
+        tag = (m[5] or "").lower()
         if not tag:
             continue
         if tag in _INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
-                in_link = max(0, in_link + (-1 if m[2] else 1))
+                in_link = max(0, in_link + (-1 if m[4] else 1))
             continue
         flush()
-        if m[2]:
+        if m[4]:
             if tag in path:
                 while path.pop() != tag:
                     pass
         elif tag not in _VOID:
             if tag in ("p", "li") and path and path[-1] == tag:  # these close each other
                 path.pop()
-            kind = re.search(r"""\b(?:class|id)\s*=\s*["']?([\w-]+)""", m[4] or "")
+            kind = re.search(r"""\b(?:class|id)\s*=\s*["']?([\w-]+)""", m[6] or "")
             path.append(tag)
             if kind:  # the class is one more step of the path
                 path.append(f".{kind[1].lower()}")

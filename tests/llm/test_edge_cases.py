@@ -139,3 +139,19 @@ def test_html_edges(spark):
     assert next(r for r in got if r.page_id == 4).n_blocks == 5000
     assert html_extract.extract(pages.limit(0), labeller).count() == 0
     assert html_extract.train(pages.limit(0)).w.keys() == labeller.w.keys()
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title><meta charset=u><body><p>text</p>", ["text"]),
+    ("<head><title>T <p> x</title><noscript><img src=a></noscript><style>p {}</style><article>text</article><pre>&lt;/head></pre></head>", ["text", "</head>"]),
+    ("<head><title>T</title>text alone", ["text alone"]),
+    ("<head>\ufeff<title>T</title>stray</head><p>text</p>", ["text"]),
+    ("<p>one</p><svg width='1'/><article>text</article><svg><text>drawn</text></svg><p>two</p>", ["one", "text", "two"]),
+    ("<p>one</p><svg width='1'><path d='M0'><article>text</article><svg><text>drawn</text></svg><p>two</p>", ["one", "text", "two"]),
+    ("<svg><svg><text>drawn</text></svg><foreignObject><p>drawn</p></foreignObject></svg><p>text</p>", ["text"]),
+    ("<noscript><p>text</p><noscript>hidden</noscript><p>two</p>", ["text", "two"]),
+    ("<template><p>text</p><template>hidden</template><p>two</p>", ["text", "two"]),
+    ("<p>text</p><script>hidden <p>hidden</p>", ["text"]),
+])
+def test_html_left_open(page, want):
+    assert [text for _, text, _ in html_extract.blocks(page)] == want
