@@ -5,7 +5,8 @@ aggregated by pattern, so the flow has a node a pattern and a node a source, how
 flow from patterns to the quotas of their sources. The first pass over a pattern's tokens is free, and each repetition of
 them costs more than the last (convex), so nothing is repeated while unused tokens could serve, by any rerouting. Each
 unit of flow pays only for the arc by which it enters, so successive shortest paths fill the passes level by level: a
-maximum flow (Dinic) is augmented a level at a time, which gives the least cost. A quota that max_passes can't fill stays short.
+maximum flow (Dinic) is augmented a level at a time, which gives the least cost. Passes go on until every quota is filled, or up to
+max_passes where that is given; then a quota may stay short, as does that of a source without tokens.
 
 A pattern that gets f tokens of its c is emitted f // c times whole, and documents in seeded order once more, while they fit into f % c.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_PASSES, TEMPERATURE, SEED, BUCKETS = 4, 0.5, 17, 4096
+MAX_PASSES, TEMPERATURE, SEED, BUCKETS = None, 0.5, 17, 4096
 
 
 class Network:
@@ -70,20 +71,33 @@ class Network:
                     break
 
 
-def route(capacity: dict[tuple[str, ...], int], quota: dict[str, int], max_passes: int = MAX_PASSES) -> dict[tuple[str, ...], dict[str, int]]:
-    """Tokens by pattern and source at the least repetition cost; patterns and sources are taken in sorted order, so ties are settled alike each time."""
+def route(capacity: dict[tuple[str, ...], int], quota: dict[str, int], max_passes: int | None = MAX_PASSES) -> dict[tuple[str, ...], dict[str, int]]:
+    """Tokens by pattern and source at the least repetition cost; patterns and sources are taken in sorted order, so ties are settled alike each time.
+
+    Several passes are taken at once while all their tokens find a quota: then each of them alone would be used up too, and the cost is the same.
+    """
     patterns, sources = sorted(p for p in capacity if capacity[p] > 0), sorted(quota)
     number = {s: 1 + len(patterns) + i for i, s in enumerate(sources)}
     net = Network(2 + len(patterns) + len(sources))
     end = 1 + len(patterns) + len(sources)
     enter = [net.arc(0, 1 + i, 0) for i in range(len(patterns))]
-    across = {(p, s): net.arc(1 + i, number[s], capacity[p] * max_passes) for i, p in enumerate(patterns) for s in p if s in number}
+    across = {(p, s): net.arc(1 + i, number[s], quota[s]) for i, p in enumerate(patterns) for s in p if s in number}
     for s in sources:
         net.arc(number[s], end, quota[s])
-    for _ in range(max_passes):
-        for i, p in enumerate(patterns):
-            net.room[enter[i]] += capacity[p]
+    live, done, step = range(len(patterns)), 0, 1
+    while live and (max_passes is None or done < max_passes):
+        if max_passes is not None:
+            step = min(step, max_passes - done)
+        kept = net.room[:]
+        for i in live:
+            net.room[enter[i]] += capacity[patterns[i]] * step
         net.augment(0, end)
+        left = [i for i in live if not net.room[enter[i]]]  # a pattern with tokens over reaches no open quota, now or later
+        if step > 1 and len(left) < len(live):
+            net.room, step = kept, step // 2
+            continue
+        live, done = left, done + step
+        step = step * 2 if done >= 4 else 1
     return {p: {s: net.room[across[p, s] ^ 1] for s in p if s in number and net.room[across[p, s] ^ 1]} for p in patterns}
 
 
@@ -102,7 +116,7 @@ def text_key(text):
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def plan(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, max_passes: int = MAX_PASSES, seed: int = SEED) -> tuple[DataFrame, dict]:
+def plan(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, max_passes: int | None = MAX_PASSES, seed: int = SEED) -> tuple[DataFrame, dict]:
     """(chosen, flows): chosen has (text_key, doc_id, pattern, n_tokens, copies) of each text that is chosen, flows has the tokens by pattern and source.
 
     A text's rows count once; the least doc_id (nulls last) stands for them. Length is in whitespace-separated words. budget:

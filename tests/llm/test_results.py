@@ -182,6 +182,21 @@ def test_flow_has_the_least_cost():
         assert all(sum(f.get(s, 0) for f in got.values()) <= quota[s] for s in quota)
 
 
+def test_passes_rise_until_quotas_are_met():
+    tokens = {f"s{i:02}": 100_000 for i in range(20)} | {"rare": 2_000}
+    quota = mixing.quotas(tokens, sum(tokens.values()), None)
+    assert quota["rare"] > 4 * tokens["rare"]
+    assert {s: f[s] for (s,), f in mixing.route({(s,): n for s, n in tokens.items()}, quota).items()} == quota
+    assert mixing.route({("a",): 1, ("a", "b"): 2}, {"a": 10**9, "b": 7, "none": 5})[("a",)]["a"] > 10**8
+    r = random.Random(6)
+    for _ in range(6):
+        capacity = {("a",): r.randint(1, 2), ("a", "b"): r.randint(1, 2), ("b",): 1}
+        quota = {"a": r.randint(0, 14), "b": r.randint(0, 11)}
+        got = mixing.route(capacity, quota)
+        cost = sum(sum(i // capacity[p] for i in range(sum(f.values()))) for p, f in got.items())
+        assert (-sum(sum(f.values()) for f in got.values()), cost) == brute_flow(capacity, quota, 25)
+
+
 def brute_mix(rows, draw):
     """The flow's choice, text by text, in plain Python: (pattern, tokens, copies) by doc_id. rows: (doc_id, text, source)."""
     sources, n, first = collections.defaultdict(set), {}, {}
