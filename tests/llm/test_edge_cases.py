@@ -113,14 +113,22 @@ def test_stages(spark, docs, tmp_path, stage):
 
 def test_ann_edges(spark):
     rows = [(1, [1.0, 0.0], 7), (1, [0.5, 0.0], 7), (2, [1.0, 1.0], 7), (3, None, 7), (4, [], 7), (5, [float("nan"), 1.0], 7), (6, [None, 1.0], 7), (None, [1.0, 2.0], 7), (8, [1.0, 0.0, 0.0], 7), (9, [1.0, 1.0], 7), (10, [1.0, 1.0], None)]
-    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, dim int").selectExpr("*", "1 AS shard", "'x' AS ids", "2 AS rank", "0 AS Embedding2")
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, dim int").selectExpr("*", "1 AS shard", "1 AS part", "2 AS cell", "'x' AS ids", "2 AS rank", "0 AS Embedding2")
     got = {}
     for r in ann.nearest(v).collect():
         got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id, round(r.distance, 4)))
     assert sorted(got) == [1, 2, 9, 10]
     assert sorted(got[2]) == [(1, 9, 0.0), (2, 10, 0.0), (3, 1, round(1.25**0.5, 4))]
-    assert ann.nearest(v.limit(0)).count() == 0
-    assert ann.nearest(v.where("vec_id = 8")).count() == 0
+    for none in (v.limit(0), v.where("vec_id = 8"), spark.createDataFrame([(None,) * 3] * 3, "vec_id bigint, embedding array<float>, label int"), spark.createDataFrame([(1,)], "vec_id bigint")):
+        assert ann.nearest(none).count() == 0
+
+
+def test_ann_keeps_dimensions_apart(spark):
+    rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0, 0.0]), (3, [0.0, 9.0, 0.0]), (4, [0.5] * 5000), (5, [0.25] * 5000)]
+    got = {(r.vec_id, r.dim, r.rank): (r.neighbour_id, round(r.distance, 4)) for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    assert got == {
+        (1, 2, 1): (2, 1.0), (2, 2, 1): (1, 1.0), (1, 3, 1): (3, 2.0), (3, 3, 1): (1, 2.0), (4, 5000, 1): (5, round(0.25 * 5000**0.5, 4)), (5, 5000, 1): (4, round(0.25 * 5000**0.5, 4))
+    }
 
 
 def test_chat_edges(spark):

@@ -98,33 +98,75 @@ def test_fingerprints_feel_order(spark):
 # Nearest neighbours
 
 
+def brute_nearest(m, ids, asked, k=10):
+    """{id: the set of its k nearest others}"""
+    out = {}
+    for q in np.flatnonzero(asked):
+        d = ((m - m[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        out[int(ids[q])] = {int(x) for x in ids[np.lexsort((ids, d))[:k]]}
+    return out
+
+
 @pytest.mark.parametrize("shard_rows", [ann.SHARD_ROWS, 120])
 def test_recall_against_brute_force(spark, sf, shard_rows):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = v.collect()
     m, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
-    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2))
-    np.fill_diagonal(d, np.inf)
-    want = {int(i): {int(ids[j]) for j in np.argsort(row, kind="stable")[:10]} for i, row in zip(ids, d)}
+    want, place = brute_nearest(m, ids, np.ones(len(ids), bool)), {int(i): n for n, i in enumerate(ids)}
     got = collections.defaultdict(dict)
     for r in ann.nearest(v, shard_rows=shard_rows).collect():
         got[r.vec_id][r.rank] = (r.distance, r.neighbour_id)
     assert all(sorted(x) == list(range(1, 11)) and [x[k] for k in range(1, 11)] == sorted(x.values()) for x in got.values())
-    place = {int(i): n for n, i in enumerate(ids)}
-    assert all(math.isclose(dist, d[place[q], place[n]], rel_tol=1e-9) for q, x in got.items() for dist, n in x.values())
-    recall = np.mean([len(want[q] & {n for _, n in got[q].values()}) / 10 for q in want])
-    assert recall >= 0.95
+    assert all(math.isclose(dist, np.sqrt(((m[place[q]] - m[place[n]]) ** 2).sum()), rel_tol=1e-9) for q, x in got.items() for dist, n in x.values())
+    assert np.mean([len(want[q] & {n for _, n in got[q].values()}) / 10 for q in want]) >= 0.95
+
+
+def test_the_query_asks_for_a_hundredth(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    m, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    want, got = brute_nearest(m, ids, ids % 100 == 0), collections.defaultdict(set)
+    for r in registry.QUERIES["op3_nearest_neighbours"](spark, sf).collect():
+        got[r.vec_id].add(r.neighbour_id)
+    assert len(want) > 1 and got.keys() == want.keys() and np.mean([len(want[q] & got[q]) / 10 for q in want]) >= 0.95
 
 
 def test_recall_on_a_larger_shard():
     r = np.random.default_rng(2)
     m = r.normal(size=(6000, 64)).astype(np.float32)
     g = ann.build(np.arange(6000), m)
-    q = m[:300]
-    found, _ = g.search(q, 11)
-    d = ((q[:, None].astype(float) - m[None]) ** 2).sum(axis=2)
-    want = np.argsort(d, axis=1)[:, :11]
-    assert np.mean([len(set(g.ids[f[f >= 0]]) & set(w)) / 11 for f, w in zip(found, want)]) >= 0.9
+    q, near, _ = g.neighbours(np.arange(300), m[:300], 10)
+    want = brute_nearest(m.astype(float), np.arange(6000), np.arange(6000) < 300)
+    assert np.mean([len(set(near[q == i].tolist()) & want[i]) / 10 for i in range(300)]) >= 0.9
+
+
+def test_groups_need_few_cells(spark):
+    """Where the vectors form groups, a query visits few of the cells and still finds its neighbours."""
+    r = np.random.default_rng(5)
+    m = (r.normal(size=(40, 16))[np.arange(4000) % 40] * 8 + r.normal(size=(4000, 16))).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id bigint, embedding array<float>")
+    own = ann.index(v, shard_rows=200)
+    assert len(own.centroids[16]) == 40 and own.probes[16] < 14
+    want, got = brute_nearest(m.astype(float), np.arange(4000), np.arange(4000) % 50 == 0), collections.defaultdict(set)
+    for x in ann.search(own, v.where("vec_id % 50 = 0")).collect():
+        got[x.vec_id].add(x.neighbour_id)
+    assert np.mean([len(want[q] & got[q]) / 10 for q in want]) >= 0.95
+    one = ann.search(own, v.where("vec_id % 50 = 0"), probes={16: 1})
+    assert one.count() <= 800 and one.where("rank > 10").count() == 0
+
+
+def test_a_third_are_copies(spark):
+    """Copies of one vector spread over several shards; they find one another, and hide no other row's neighbours."""
+    r = np.random.default_rng(3)
+    m = r.normal(size=(1200, 8)).astype(np.float32)
+    m[::3] = m[0]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id bigint, embedding array<float>")
+    got = collections.defaultdict(set)
+    for x in ann.nearest(v, v.where("vec_id % 100 < 3"), shard_rows=100).collect():
+        got[x.vec_id].add(x.neighbour_id)
+    want = brute_nearest(m.astype(float), np.arange(1200), np.arange(1200) % 100 < 3)
+    assert np.mean([len(want[q] & got[q]) / 10 for q in want]) >= 0.97
+    assert all(got[q] == want[q] for q in want if q % 3 == 0)
 
 
 # Bit packing
