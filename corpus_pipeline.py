@@ -12,7 +12,7 @@ from lumengraph.llm import common, language_id, mixing, near_dedup, packing
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language's statistics explain better than chance go."""
+    """Documents that no language's contexts explain better than letters alone would go; the others carry the language found."""
     return language_id.keep_identified(docs, language_id.train(docs))
 
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1000
+#: Rows and bytes that Python takes up at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Rows up to which a checked side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,20 +40,20 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return own.select(*((F.col(f"__{at[c]}") if at[c] is not None else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: Arrow batches of fewer rows, unless the session already asks for other than the default."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows, and of about so many bytes at most: Python's copies of long texts stay small, whatever the session's batches are."""
+    step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list], pa.RecordBatch], dict], schema: str, types_: dict[str, pa.DataType]) -> DataFrame:
-    """mapInArrow over batches; fn takes the columns as lists and returns lists or arrays by column."""
-    small_batches(df.sparkSession)
+    """mapInArrow over slices of batches; fn takes the columns as lists and returns lists or arrays by column."""
     kinds = list(types_.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}, b)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, t) in ((out[n], (n, t)) for n, t in kinds)], names=[n for n, _ in kinds])
 
@@ -67,11 +68,20 @@ def worker_store() -> dict:
     return sys.modules[name].__dict__
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that spark.checkpoint.dir names; a temporary one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A temporary one only where none is set and all tasks run on this machine, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumengraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumengraph-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder: lineage is cut, and a lost executor costs nothing that was done."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,8 +6,13 @@ context and d the number of different ones; a context that a language never saw
 empty context each byte costs 8 bits. No exclusion is made. A text costs each language the sum of its bytes' code
 lengths; the smallest sum wins. Costs are whole 1/1024 bits, so sums don't depend on the order of addition.
 
-Training takes ``docs_per_lang`` labelled documents a language, those with the least hash of their id (the bound is a
-parameter, as is the number of languages that the sample may hold: all that occur). Scoring covers every byte of every text.
+A text is accepted if the winner's contexts gain something: if it costs less than the letters alone do, which is the least
+sum, over the languages, of code lengths in the empty context. Texts in a language that isn't known, shuffled letters,
+code and random bytes cost more than that by several bits a byte, texts in a known language about 1.7 less. The rule
+is the same for texts of all lengths.
+
+Training takes ``docs_per_lang`` different documents of each of the ``max_langs`` languages that most documents carry, those with the least hash of their
+id: these bounds are parameters. Scoring covers every byte of every text.
 """
 
 from __future__ import annotations
@@ -20,10 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 4
-DOCS_PER_LANG = 200
-#: A text is rejected if even its best language spends more bits than this on a byte, 8 being what knowing nothing costs, and
-#: SLACK_BITS more on the whole: a few bytes are no evidence against a text.
-MAX_BITS_PER_BYTE, SLACK_BITS = 8.0, 64
+DOCS_PER_LANG, MAX_LANGS = 200, 200
+#: Bits a byte that the contexts must gain on the letters alone.
+MIN_GAIN = 0.0
 UNIT = 1024
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,9 +137,10 @@ class Model:
             codes[todo] &= np.uint64(256**j - 1)
         return total
 
-    def score(self, texts: list[str | None], chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-        """Code lengths in 1/1024 bits, by text and language; bytes by text. Long texts are scored in pieces that overlap by the context, which gives the same sums."""
-        out, size = np.zeros((len(texts), len(self.langs)), np.int64), np.zeros(len(texts), np.int64)
+    def score(self, texts: list[str | None], chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code lengths in 1/1024 bits, by text and language; bytes by text; the least code length of the letters alone by text. Long texts are scored in pieces that overlap by the context, which gives the same sums."""
+        out, size, letters = np.zeros((len(texts), len(self.langs)), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        single = self.tables[0][1].astype(np.int64)
         pending, count = [], 0
 
         def flush():
@@ -152,71 +157,93 @@ class Model:
         for i, t in enumerate(texts):
             raw = np.frombuffer(lead(self.order) + (t or "").encode("utf-8", "replace"), np.uint8)
             size[i] = len(raw) - self.order
+            if self.langs:
+                letters[i] = (np.bincount(raw[self.order :], minlength=256) @ single).min()
             for a in range(0, size[i], chunk):
                 pending.append((i, raw[a : a + chunk + self.order]))
                 count += len(pending[-1][1])
                 if count >= chunk:
                     flush()
         flush()
-        return out, size
+        return out, size, letters
 
-    def decide(self, texts: list[str | None], max_bits_per_byte: float) -> dict[str, list]:
-        bits, size = self.score(texts)
+    def decide(self, texts: list[str | None], min_gain: float = MIN_GAIN, wanted: frozenset[str] | None = None) -> dict[str, list]:
+        bits, size, letters = self.score(texts)
         n = len(texts)
         if not self.langs:
-            return {"language": ["und"] * n, "bits": [None] * n, "margin_bits": [None] * n, "accepted": [False] * n}
+            return {"language": ["und"] * n, "bits": [None] * n, "margin_bits": [None] * n, "gain_bits": [None] * n, "accepted": [False] * n}
         best = bits.argmin(axis=1)
         low = bits[np.arange(n), best]
         rest = np.partition(bits, 1, axis=1)[:, 1] if len(self.langs) > 1 else low
-        ok = (size > 0) & (low <= (max_bits_per_byte * size + SLACK_BITS) * UNIT)
-        return {
-            "language": [self.langs[b] if s else "und" for b, s in zip(best, size)],
-            "bits": [x / UNIT if s else None for x, s in zip(low.tolist(), size)],
-            "margin_bits": [x / UNIT if s else None for x, s in zip((rest - low).tolist(), size)],
-            "accepted": ok.tolist(),
-        }
-
-
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER) -> Model:
-    """Statistics of the documents that carry a language; ties of the hash go by id, then text. No labelled text gives a model without languages."""
-    d = common.pick(docs, doc_id="bigint", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r.doc_id for r in d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_lang).select("doc_id").distinct().collect()]
-    rows = d.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull() & (F.col("text") != "")).collect() if ids else []
+        ok = (size > 0) & (letters - low > min_gain * size * UNIT)
+        if wanted is not None:
+            ok &= np.array([x in wanted for x in self.langs])[best]
+        whole = lambda x: [v / UNIT if s else None for v, s in zip(x.tolist(), size)]
+        return {"language": [self.langs[b] if s else "und" for b, s in zip(best, size)], "bits": whole(low), "margin_bits": whole(rest - low), "gain_bits": whole(letters - low), "accepted": ok.tolist()}
+
+
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, order: int = ORDER, max_langs: int = MAX_LANGS) -> Model:
+    """Statistics of documents that carry a language, a text and an id; rows that repeat all three count once, ties of the hash go by id, then by the text's hash.
+
+    No labelled text gives a model without languages. Never more than docs_per_lang * max_langs texts come to the driver.
+    """
+    d = common.pick(docs, doc_id="bigint", text="string", lang="string").where("lang IS NOT NULL AND doc_id IS NOT NULL AND text <> ''")
+    langs = [r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    if not langs:
+        return Model({}, order)
+    d = d.where(F.col("lang").isin(langs)).withColumn("h", F.xxhash64("text"))
+    # Ids and hashes are ranked, not texts; repeats share a rank.
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    key = ["lang", "doc_id", "h"]
+    chosen = d.select(*key).withColumn("n", F.dense_rank().over(w)).where(F.col("n") <= docs_per_lang).select(*key).distinct()
+    rows = d.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
-        if len(texts.setdefault(r.lang, [])) < docs_per_lang:
-            texts[r.lang].append(r.text)
+    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.h)):
+        texts.setdefault(r.lang, []).append(r.text)
     return Model(texts, order)
 
 
-def identify(docs: DataFrame, model: Model, max_bits_per_byte: float = MAX_BITS_PER_BYTE) -> DataFrame:
-    """A row for each row of docs: doc_id, language, bits (of the whole text under that language), margin_bits (by which the next is longer), accepted.
+def identify(docs: DataFrame, model: Model, min_gain: float = MIN_GAIN, wanted: set[str] | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, language, bits (of the whole text under that language), margin_bits (by which the next is longer), gain_bits (on the letters alone), accepted.
 
-    Null and empty texts: 'und', null bits, not accepted. Equal code lengths: the first language by name. Repeated rows are
-    judged one by one, null ids are carried, extra columns are not read, an empty table gives an empty result. A model
-    without languages accepts nothing.
+    wanted: only these languages are accepted; None means all that the model knows. Null and empty texts: 'und', null bits, not
+    accepted. Equal code lengths: the first language by name; a gain of just min_gain isn't accepted. Repeated rows are judged one by one,
+    null ids are carried, extra columns are not read, an empty table gives an empty result. Texts of any length are scored
+    whole, in pieces that share their context. A model without languages accepts nothing.
     """
-    kinds = {"doc_id": pa.int64(), "language": pa.string(), "bits": pa.float64(), "margin_bits": pa.float64(), "accepted": pa.bool_()}
+    only = None if wanted is None else frozenset(wanted)
+    kinds = {"doc_id": pa.int64(), "language": pa.string(), "bits": pa.float64(), "margin_bits": pa.float64(), "gain_bits": pa.float64(), "accepted": pa.bool_()}
     return common.map_batches(
         common.pick(docs, doc_id="bigint", text="string"),
-        lambda x, _: {"doc_id": x["doc_id"]} | model.decide(x["text"], max_bits_per_byte),
-        "doc_id bigint, language string, bits double, margin_bits double, accepted boolean", kinds,
+        lambda x, _: {"doc_id": x["doc_id"]} | model.decide(x["text"], min_gain, only),
+        "doc_id bigint, language string, bits double, margin_bits double, gain_bits double, accepted boolean", kinds,
     )
 
 
-def keep_identified(docs: DataFrame, model: Model, max_bits_per_byte: float = MAX_BITS_PER_BYTE) -> DataFrame:
-    """The rows of docs that identify() accepts, with all their columns as they are."""
-    at = common.position(docs, "text")
-    common.small_batches(docs.sparkSession)
+def keep_identified(docs: DataFrame, model: Model, min_gain: float = MIN_GAIN, wanted: set[str] | None = None) -> DataFrame:
+    """The rows of docs that identify() accepts, with all their columns as they are, but lang, where there is one: it becomes the language found.
+
+    Null and empty texts go. Rows that repeat are judged one by one and stay as often as they come; ties as in identify(). Null ids
+    and nulls in any other column stay as they are; columns of clashing names, too. An empty table, or one without text, gives none.
+    """
+    at, lang = common.position(docs, "text"), common.position(docs, "lang")
+    only = None if wanted is None else frozenset(wanted)
+    if at is None:
+        return docs.limit(0)
+    if lang is not None and dict(docs.dtypes).get(docs.columns[lang]) != "string":
+        lang = None
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(model.decide(b.column(at).to_pylist(), max_bits_per_byte)["accepted"], pa.bool_()))
+        for whole in batches:
+            for b in common.slices(whole):
+                found = model.decide(b.column(at).to_pylist(), min_gain, only)
+                columns = list(b.columns)
+                if lang is not None:
+                    columns[lang] = pa.array(found["language"], b.schema.field(lang).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(found["accepted"], pa.bool_()))
 
     own = common.numbered(docs)
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns) if at is not None else docs.limit(0)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
