@@ -165,7 +165,7 @@ class Labeller:
 
     def __init__(self, hidden: int = HIDDEN, seed: int = SEED):
         r = np.random.default_rng(seed)
-        self.hidden = hidden
+        self.hidden, self.fitted = hidden, False
         self.w = {}
         for d in "fb":
             self.w[f"x{d}"] = r.normal(0, 0.3 / np.sqrt(WIDTH) * 3, (WIDTH, 4 * hidden))
@@ -174,11 +174,12 @@ class Labeller:
             self.w[f"c{d}"][hidden : 2 * hidden] = 1.0  # remember at first
         self.w["o"], self.w["k"] = r.normal(0, 0.3, 2 * hidden), np.zeros(1)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """States by step, and what the way back needs if it is kept; in the precision of x."""
         n, steps, _ = x.shape
         hid = self.hidden
-        h, c = np.zeros((n, hid)), np.zeros((n, hid))
-        out, kept = np.zeros((n, steps, hid)), []
+        h, c = np.zeros((n, hid), x.dtype), np.zeros((n, hid), x.dtype)
+        out, kept = np.zeros((n, steps, hid), x.dtype), []
         pre = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = pre[:, t] + h @ self.w[f"h{d}"]
@@ -187,13 +188,14 @@ class Labeller:
             new = f * c + i * g
             squashed = np.tanh(new)
             m = mask[:, t, None]  # padding leaves the state as it is
-            kept.append((t, h, c, i, f, o, g, squashed, m))
+            if keep:
+                kept.append((t, h, c, i, f, o, g, squashed, m))
             h, c = np.where(m, o * squashed, h), np.where(m, new, c)
             out[:, t] = h
         return out, kept
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, "f")[0], self._run(x, mask, "b")[0]], axis=2)
+        both = np.concatenate([self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]], axis=2)
         return 1 / (1 + np.exp(-(both @ self.w["o"] + self.w["k"][0])))
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -224,7 +226,7 @@ class Labeller:
 
     def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 16, rate: float = 0.02, seed: int = SEED) -> None:
         """Adam; the order of the batches is seeded."""
-        r = np.random.default_rng(seed)
+        r, self.fitted = np.random.default_rng(seed), True
         first, second, step = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0
         for _ in range(epochs):
             order = r.permutation(len(sequences))
@@ -242,14 +244,16 @@ class Labeller:
                     self.w[k] = self.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
     def label(self, sequences: list[np.ndarray], most: int = 4096) -> list[np.ndarray]:
-        """Whether each block is main text. Sequences of like length share a batch of at most so many blocks; none is cut."""
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(sequences)
+        """Whether each block is main text; no block is, before the labeller was fitted. Sequences of like length share a batch of at most so many blocks; none is cut."""
+        out: list[np.ndarray] = [np.zeros(len(s), bool) for s in sequences]
+        if not self.fitted:
+            return out
         order, a = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i])), 0
         while a < len(order):
             b = a + 1
             while b < len(order) and (b - a + 1) * len(sequences[order[b]]) <= most:
                 b += 1
-            x, mask = padded([sequences[i] for i in order[a:b]])
+            x, mask = padded([sequences[i] for i in order[a:b]], np.float32)
             p = self.probabilities(x, mask)
             for j, i in enumerate(order[a:b]):
                 out[i] = p[j, : len(sequences[i])] >= 0.5
@@ -257,9 +261,9 @@ class Labeller:
         return out
 
 
-def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(sequences: list[np.ndarray], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, sequences))
-    x, mask = np.zeros((len(sequences), steps, WIDTH)), np.zeros((len(sequences), steps), bool)
+    x, mask = np.zeros((len(sequences), steps, WIDTH), kind), np.zeros((len(sequences), steps), bool)
     for i, s in enumerate(sequences):
         x[i, : len(s)], mask[i, : len(s)] = s, True
     return x, mask
@@ -272,12 +276,12 @@ def marked(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray | None:
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-    """Fitted on the sample that the module describes; ties go by id, then text. Without a marked page the labeller stays as it was drawn."""
+    """Fitted on the sample that the module describes; ties of the hash go by id, and of several pages of an id the least is read. Without a marked page nothing is fitted."""
     p = common.pick(pages, page_id="bigint", html="string").where("page_id IS NOT NULL AND html IS NOT NULL")
     ids = [r.page_id for r in p.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()]
-    rows = sorted((r.page_id, r.html) for r in p.where(F.col("page_id").isin(ids)).collect()) if ids else []
+    rows = sorted((r.page_id, r.html) for r in p.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).collect()) if ids else []
     xs, ys = [], []
-    for n, (_, text) in enumerate(rows[:train_pages]):
+    for n, (_, text) in enumerate(rows):
         found = blocks(text)
         y = marked(found)
         if y is not None:
@@ -293,8 +297,9 @@ def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, epochs: int = EPOCHS
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """A row for each row of pages: page_id, text (the main blocks, a line each), n_blocks, labels (a boolean a block).
 
-    Null and empty pages and those without text: empty text, no blocks. Repeated rows are taken one by one, null ids are
-    carried, extra columns aren't read, an empty table gives an empty result. Any broken markup is read as far as it goes.
+    Null and empty pages and those without text: empty text, no blocks. Repeated rows are taken one by one and equal pages get equal labels, null ids are
+    carried, extra columns aren't read, an empty table gives an empty result. Any broken markup is read as far as it goes. Pages of any
+    length are read whole, every block with the whole page as context. A probability of just one half is main text. Without a fitted labeller no block is main text.
     """
 
     def run(x, _):

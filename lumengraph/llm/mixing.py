@@ -135,14 +135,14 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     spark = docs.sparkSession
     total = {p: sum(f.values()) for p, f in flows.items()}
     rows = [([*p], total[p] // counted[p], total[p] % counted[p]) for p in flows]
-    passes = F.broadcast(spark.createDataFrame(rows, "sources array<string>, whole int, rest bigint"))
+    passes = common.checked_broadcast(spark.createDataFrame(rows, "sources array<string>, whole bigint, rest bigint"))
     dealt = one.join(passes, "sources")
     # A running total over a whole pattern would be one task: totals by bucket of the draw first, then within the bucket where the rest ends.
     bucket = F.shiftright("draw", 63 - BUCKETS.bit_length() + 1)
     sums = dealt.groupBy("sources", "rest", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n"))
     running = F.sum("n").over(Window.partitionBy("sources").orderBy("bucket"))
     edge = common.checkpointed(sums.withColumn("upto", running).where("upto > rest").groupBy("sources", "rest").agg(F.min(F.struct("bucket", "upto", "n")).alias("m")).select("sources", "rest", F.col("m.bucket").alias("edge"), (F.col("rest") - F.col("m.upto") + F.col("m.n")).alias("left")))
-    near = dealt.drop("rest").withColumn("bucket", bucket).join(F.broadcast(edge), "sources")
+    near = dealt.drop("rest").withColumn("bucket", bucket).join(common.checked_broadcast(edge), "sources")
     inside = near.where("bucket = edge").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("sources").orderBy("draw", "text_key").rowsBetween(Window.unboundedPreceding, 0)))
     last = inside.select("text_key", "doc_id", "sources", "n_tokens", (F.col("whole") + (F.col("upto") <= F.col("left")).cast("int")).alias("copies"))
     sure = near.where("bucket <> edge").select("text_key", "doc_id", "sources", "n_tokens", (F.col("whole") + (F.col("bucket") < F.col("edge")).cast("int")).alias("copies"))
@@ -153,27 +153,28 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     """A row for each text that is chosen: doc_id, pattern (its sources, joined by |), n_tokens, copies.
 
     Documents without a token (null, empty, blank) are never chosen. A null source is 'unknown'. Repeated rows and
-    exact copies are one text, under all their sources. Extra columns aren't read; an empty table gives an empty result. Equal draws go by the text's key.
+    exact copies are one text, under all their sources, with the least doc_id (nulls last). Texts of any length are read whole. Extra columns aren't read; an
+    empty table, or one of nulls, gives an empty result. Equal draws go by the text's key.
     """
     return plan(docs, **parameters)[0].select("doc_id", "pattern", "n_tokens", "copies")
 
 
 def select(docs: DataFrame, **parameters) -> DataFrame:
-    """The chosen rows of docs, each as often as plan() says, with all their columns as they are. Of a text's rows, one that has its doc_id is taken."""
+    """The chosen rows of docs, each as often as plan() says, with all their columns as they are.
+
+    Of a text's rows, the one of the least doc_id (nulls last) is taken, and of rows that repeat id and text the one whose columns as JSON are least. Rows without a
+    word, null and empty texts included, are never chosen; ties go as in mix(). Columns of clashing names are kept; a table without texts, or an empty
+    one, gives none.
+    """
     at_id, at_text = common.position(docs, "doc_id"), common.position(docs, "text")
     if at_text is None:
         return docs.limit(0)
     chosen = common.checkpointed(plan(docs, **parameters)[0].select("text_key", F.col("doc_id").alias("chosen_id"), "copies"))
     own = common.numbered(docs)
-    id_ = F.col(f"__{at_id}").cast("bigint") if at_id is not None else F.lit(None).cast("bigint")
-    found = own.withColumn("k", text_key(F.col(f"__{at_text}").cast("string"))).join(common.checked_broadcast(chosen), (F.col("k") == F.col("text_key")) & id_.eqNullSafe(F.col("chosen_id")))
-    # Rows that repeat id and text share one set of copies.
-    again = common.checkpointed(common.pick(docs, doc_id="bigint", text="string").where("text IS NOT NULL").groupBy(F.col("doc_id").alias("i"), text_key(F.col("text")).alias("t")).count().where("count > 1").select("i", "t"))
-    if again.limit(1).count():
-        match = (F.col("k") == F.col("t")) & id_.eqNullSafe(F.col("i"))
-        first = found.join(common.checked_broadcast(again), match).withColumn("n", F.row_number().over(Window.partitionBy("k", "i").orderBy("k"))).where("n = 1").select(*own.columns, "copies")
-        found = found.join(common.checked_broadcast(again), match, "left_anti").select(*own.columns, "copies").union(first)
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*own.columns).toDF(*docs.columns)
+    id_, key = F.col(f"__{at_id}").cast("bigint") if at_id is not None else F.lit(None).cast("bigint"), text_key(F.col(f"__{at_text}").cast("string"))
+    one = common.one_of_repeats(own, id_, key, F.col(f"__{at_text}").isNotNull())
+    found = one.withColumn("k", key).join(common.checked_broadcast(chosen), (F.col("k") == F.col("text_key")) & id_.eqNullSafe(F.col("chosen_id")))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(*own.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

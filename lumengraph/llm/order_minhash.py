@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, k: int = K, l: int = L, m: int = M, seed: int
 
     Null and empty texts: 0 k-mers, null fingerprint. A text shorter than k is one k-mer. Repeated rows are taken one by
     one and equal texts get equal fingerprints, null ids are carried, extra columns aren't read, an empty table gives an empty result.
+    Of k-mers whose hashes are equal the earlier counts as less. Texts of any length are read whole.
     """
     mult, add = orders(m, seed)
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY, GROUP_SIZE, SEED = 2048, 20_000, 11
+#: Repeats of a row that are made at once.
+REPEATS = 10_000
 
 
 class Tournament:
@@ -60,9 +62,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE
     """A row for each piece of a document: doc_id, piece, n_tokens, group_id, bin_id, bin_offset. Bins are numbered within a group.
 
     Length is the column n_tokens names, else the number of whitespace-separated words. A document longer than the
-    capacity is cut into full pieces and a rest, numbered from 0; nothing is dropped. Documents without a token (null,
+    capacity is cut into full pieces and a rest, numbered from 0; nothing is dropped, however long. Documents without a token (null,
     empty and blank texts, null or negative lengths) give no row. Equal lengths go by id (nulls first), then piece. Repeated rows are packed
-    each on its own. Extra columns aren't read. An empty table gives an empty result.
+    each on its own and spread over the groups, so no id, null included, can fill one. Extra columns aren't read. An empty table, or one of nulls, gives an empty result.
     """
     if n_tokens:
         d = common.pick(docs, doc_id="bigint", **{n_tokens: "bigint"}).select("doc_id", F.col(f"`{n_tokens}`").alias("size"))
@@ -70,8 +72,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE
         d = common.pick(docs, doc_id="bigint", text="string").select("doc_id", common.words(F.col("text")).alias("size"))
     d = d.where(F.col("size") > 0)
     groups = max(1, -(-common.pick(docs, doc_id="bigint").count() // group_size))
-    # Repeated ids must not fall into one group at any rate, but they may: a group only has to be about group_size rows.
-    d = d.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(groups)).cast("int"))
+    # Rows that repeat are counted, and numbered, so that their hashes differ.
+    d = d.groupBy("doc_id", "size").agg(F.count("*").alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / REPEATS))))
+    d = d.withColumn("again", F.explode(F.sequence(F.col("b") * REPEATS, F.least("n", (F.col("b") + 1) * REPEATS) - 1)))
+    d = d.select("doc_id", "size", F.pmod(F.xxhash64("doc_id", "size", "again", F.lit(seed)), F.lit(groups)).cast("int").alias("group_id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size"], na_position="first", kind="stable")

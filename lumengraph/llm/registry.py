@@ -15,5 +15,6 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_language_id": language_id.query,
     "op10_chat_format": chat_format.query,
+    "chat_typed_parts": chat_format.typed_query,
 }
-ORACLES = {"op10_chat_format": chat_format.ORACLE_SQL}
+ORACLES = {"op10_chat_format": chat_format.ORACLE_SQL, "chat_typed_parts": chat_format.TYPED_SQL}

@@ -1,8 +1,8 @@
 """Token counts of a unigram tokenizer, by dynamic programming over a trie of pre-tokens.
 
-A pre-token is a whitespace-separated word with the word mark in front. The distinct pre-tokens of a batch go into a trie; the best
-forward score of a prefix (a trie node) is the maximum, over the vocabulary pieces that end there, of the score of the
-shorter prefix plus the piece's. It is computed once for all words that share the prefix, and the node where a word
+A pre-token is a whitespace-separated word with the word mark in front. The distinct pre-tokens that a worker meets are inserted in a trie, which lives on from
+batch to batch; the best forward score of a prefix (a trie node) is the maximum, over the vocabulary pieces that end there, of the score of the
+shorter prefix plus the piece's. It is computed once, when the node is made, for all words that ever share the prefix, and the node where a word
 ends stores its number of tokens. Equal scores: fewer tokens.
 
 The vocabulary is a public one, whose pieces come with merge ranks: piece of rank r has score -ln(r + 1) - ln(H), H being
@@ -23,8 +23,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SCALE = 1_000_000
 UNKNOWN = -20 * SCALE
 MARK = "▁"
-#: Words whose counts a worker keeps before it starts anew; results don't depend on it.
-MAX_WORDS = 300000
+#: Words and nodes that a worker keeps before it starts anew; results don't depend on them.
+MAX_WORDS, MAX_NODES = 300_000, 600_000
 
 
 def load_pieces(path: str = VOCABULARY) -> dict[str, int]:
@@ -66,75 +66,84 @@ class Pieces:
 
 
 class Trie:
-    """A trie of distinct words, built and scored depth first: sorted words make each node once, and only the path to the current word is held.
+    """Nodes in flat lists: by node the best score and the token count of its prefix, its state among the pieces, and the tokens of the word that ends there (-1 where none does).
 
-    Of each node on the path: best score and token count of its prefix, and its state among the pieces. A word's last
-    node gives its count.
+    children has the node by parent and character (one number for both). A word's walk makes and scores only the nodes that no word before it made.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-
-    def counts(self, distinct: list[str]) -> dict[str, int]:
-        """The number of tokens by word; a node that several words share is scored once."""
-        step, nxt, ends, ending, scores = self.pieces.step, self.pieces.next, self.pieces.ends, self.pieces.ending, self.pieces.scores
-        room = max(map(len, distinct), default=0) + 2
-        score, tokens, state = [0] * room, [0] * room, [0] * room
-        out, before = {}, ""
-        for word in sorted(distinct):
-            text = MARK + word
-            at, most = 0, min(len(before), len(text))
-            if before[:6] == text[:6]:
-                at = min(6, most)
-            while at < most and before[at] == text[at]:
-                at += 1
-            here = state[at]
-            for c in text[at:]:
+        self.clear()
+
+    def clear(self) -> None:
+        self.children: dict[int, int] = {}
+        self.score, self.tokens, self.state, self.terminal = [0], [0], [0], [-1]
+
+    def insert(self, word: str) -> int:
+        """The number of tokens of the word, which its last node then holds."""
+        nxt, ends, scores, children = self.pieces.next, self.pieces.ends, self.pieces.scores, self.children
+        score, tokens, state = self.score, self.tokens, self.state
+        node, path, text = 0, [0], MARK + word
+        for at, c in enumerate(text, 1):
+            key = node << 21 | ord(c)
+            child = children.get(key)
+            if child is None:
+                here = state[node]
                 now = nxt[here].get(c)
-                here = step(here, c) if now is None else now
+                here = self.pieces.step(here, c) if now is None else now
                 found = ends[here]
                 if found is None:
-                    found = ending(here)
-                at += 1
+                    found = self.pieces.ending(here)
                 best = None
                 for n, s in found:
-                    s += score[at - n]
-                    if best is None or s > best or (s == best and tokens[at - n] < fewest):
-                        best, fewest = s, tokens[at - n]
+                    before = path[at - n]
+                    s += score[before]
+                    if best is None or s > best or (s == best and tokens[before] < fewest):
+                        best, fewest = s, tokens[before]
                 fewest = 1 + (fewest if best is not None else 0)
                 if c not in scores:
                     size = len(c.encode("utf-8", "replace"))
-                    s, t = score[at - 1] + UNKNOWN * size, tokens[at - 1] + size
+                    s, t = score[node] + UNKNOWN * size, tokens[node] + size
                     if best is None or s > best or (s == best and t < fewest):
                         best, fewest = s, t
-                score[at], tokens[at], state[at] = best, fewest, here
-            out[word] = tokens[len(text)]
-            before = text
-        return out
+                children[key] = child = len(score)
+                score.append(best), tokens.append(fewest), state.append(here), self.terminal.append(-1)
+            path.append(child)
+            node = child
+        self.terminal[node] = tokens[node]
+        return tokens[node]
 
 
 class Counter:
-    """Counts of texts, with the words seen lately."""
+    """Counts of texts. known has the terminal counts by word: a word is walked through the trie once."""
 
     def __init__(self, pieces: dict[str, int]):
         self.trie, self.known = Trie(Pieces(pieces)), {}
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """Tokens and pre-tokens by text."""
-        known = self.known
-        if len(known) > MAX_WORDS:
-            known.clear()
-        found = [t.split() if t else [] for t in texts]
-        got = [[*map(known.get, f)] for f in found]
-        known.update(self.trie.counts([*{w for f, g in zip(found, got) if None in g for w, c in zip(f, g) if c is None}]))
-        return [(sum([known[w] if c is None else c for w, c in zip(f, g)]) if None in g else sum(g), len(f)) for f, g in zip(found, got)]
+        known, insert, out = self.known, self.trie.insert, []
+        for t in texts:
+            if len(known) > MAX_WORDS or len(self.trie.score) > MAX_NODES:
+                known.clear()
+                self.trie.clear()
+            found = t.split() if t else []
+            got = [*map(known.get, found)]
+            if None in got:
+                for i, n in enumerate(got):
+                    if n is None:
+                        w = found[i]
+                        n = known.get(w)
+                        got[i] = known.setdefault(w, insert(w)) if n is None else n
+            out.append((sum(got), len(found)))
+        return out
 
 
 def count_tokens(docs: DataFrame, pieces: dict[str, int]) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, n_pretokens. No shuffle.
 
     Null, empty and blank texts have 0 of both. Repeated rows are counted one by one, null ids are carried, extra columns
-    aren't read, an empty table gives an empty result.
+    aren't read, an empty table gives an empty result. Texts of any length are counted whole, and a word of any length is one walk. Ties as in the module.
     """
     key = hash((len(pieces), sum(pieces.values())))
 
@@ -142,7 +151,7 @@ def count_tokens(docs: DataFrame, pieces: dict[str, int]) -> DataFrame:
         store = common.worker_store()
         if store.get("token_count", (None,))[0] != key:
             store["token_count"] = key, Counter(pieces)
-        done = [c for a in range(0, len(x["text"]), 500) for c in store["token_count"][1].count(x["text"][a : a + 500])]
+        done = store["token_count"][1].count(x["text"])
         return {"doc_id": x["doc_id"], "n_tokens": [a for a, _ in done], "n_pretokens": [b for _, b in done]}
 
     return common.map_batches(common.pick(docs, doc_id="bigint", text="string"), run, "doc_id bigint, n_tokens bigint, n_pretokens bigint", {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_pretokens": pa.int64()})

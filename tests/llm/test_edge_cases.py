@@ -1,5 +1,6 @@
 """Nulls in any column, empty and very long texts, repeated rows, empty tables, clashing extra columns: for every operator and stage."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -93,13 +94,24 @@ def test_untrained_language_model(spark, docs):
     assert language_id.train(docs).langs == ["de", "en", "fr"]
 
 
-@pytest.mark.parametrize("name", ["token_count", "fingerprints", "bit_packing", "language", "near_dedup", "mixing", "packing"])
-def test_empty_and_null_tables(spark, docs, model, pieces, name):
+@pytest.mark.parametrize(("name", "rows"), [("token_count", True), ("fingerprints", True), ("bit_packing", True), ("language", True), ("near_dedup", False), ("mixing", False), ("packing", False)])
+def test_empty_and_null_tables(spark, docs, model, pieces, name, rows):
+    """Operators that answer row by row answer for each row of nulls; the others have nothing to say."""
     op = by_doc(spark, docs, model, pieces)[name]
     assert op(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None,) * len(docs.columns)] * 3, DOCS)
-    assert op(nulls).count() in (0, 3)
-    assert op(spark.createDataFrame([(1,)], "doc_id bigint")).count() in (0, 1)  # no text column at all
+    assert op(nulls).count() == (3 if rows else 0)
+    assert op(spark.createDataFrame([(1,)], "doc_id bigint")).count() == (1 if rows else 0)  # no text column at all
+
+
+def test_which_of_repeated_rows_stays(spark):
+    """The one whose columns as JSON are least, in whatever order they come."""
+    rows = [(1, "one text of some words", "b", 2), (1, "one text of some words", "a", 9), (1, "one text of some words", None, 1), (2, "something else is written here", "z", 1), (2, "something else is written here", "z", 1)]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id bigint, text string, source string, extra int").repartition(3)
+        want = {(1, "one text of some words", "a", 9), (2, "something else is written here", "z", 1)}
+        assert {tuple(r) for r in near_dedup.keep_one_of_each(d).collect()} == want and near_dedup.keep_one_of_each(d).count() == 2
+        assert {tuple(r) for r in mixing.select(d, weights={"a": 1, "z": 1}).collect()} == want
 
 
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
@@ -132,11 +144,25 @@ def test_ann_keeps_dimensions_apart(spark):
 
 
 def test_chat_edges(spark):
-    turns = spark.createDataFrame([(1, 2, "user", "second"), (1, 1, None, None), (1, 2, "user", "second"), (None, 1, "user", "lost"), (2, None, "a", ""), (3, 1, "user", "x " * 100_000)], "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 AS prompt", "'q' AS parts", "'z' AS turns", "0 AS flat")
-    got = {r.conv_id: r for r in chat_format.format_chat(turns).collect()}
+    turns = spark.createDataFrame([(1, 2, "user", "second"), (1, 1, None, None), (1, 2, "user", "second"), (None, 1, "user", "lost"), (None, 1, "user", "lost"), (2, None, "a", ""), (3, 1, "user", "x " * 100_000)], "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 AS prompt", "'q' AS parts", "'z' AS turns", "0 AS flat")
+    rows = chat_format.format_chat(turns).collect()
+    got = {r.conv_id: r for r in rows}
     assert got[1].prompt == "<|unknown|>\n<|end|>\n<|user|>\nsecond<|end|>\n<|user|>\nsecond<|end|>\n" and got[1].n_turns == 3
-    assert got[None].n_tokens == 5 and got[2].n_tokens == 4 and got[3].n_text_tokens == 100_000
+    assert [(r.n_turns, r.n_tokens) for r in rows if r.conv_id is None] == [(1, 5), (1, 5)]
+    assert got[2].n_tokens == 4 and got[3].n_text_tokens == 100_000
     assert chat_format.format_chat(turns.limit(0)).count() == 0
+    nulls = chat_format.format_chat(spark.createDataFrame([(None,) * 4] * 3, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert [(r.n_turns, r.prompt, r.n_tokens) for r in nulls] == [(1, "<|unknown|>\n<|end|>\n", 4)] * 3
+
+
+def test_chat_slots_are_no_text(spark):
+    """Texts that look like what stands for an attachment come out as they are; many attachments are numbered in order."""
+    odd = "a\x01sb\x01ec\x01"
+    images = "[" + ",".join('{"type":"image","url":"%d"}' % i for i in range(2000)) + "]"
+    turns = [(1, 1, "r\x01s", odd), (1, 2, "user", images), (1, 3, "user", '[{"type":"text","text":"\\u0001s"},{"type":"audio"}]')]
+    r = chat_format.format_chat(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).first()
+    assert r.prompt == f"<|r\x01s|>\n{odd}<|end|>\n<|user|>\n" + "".join(f"<|image:{i}|>" for i in range(2000)) + "<|end|>\n<|user|>\n\x01s<|audio:2000|><|end|>\n"
+    assert [(a.number, a.ref) for a in r.attachments[:2000]] == [(i, str(i)) for i in range(2000)]
 
 
 def test_html_edges(spark):
@@ -147,6 +173,26 @@ def test_html_edges(spark):
     assert next(r for r in got if r.page_id == 4).n_blocks == 5000
     assert html_extract.extract(pages.limit(0), labeller).count() == 0
     assert html_extract.train(pages.limit(0)).w.keys() == labeller.w.keys()
+    # Without a marked page nothing is learnt, and nothing is called main text.
+    none = html_extract.train(pages)
+    assert not none.fitted and {(r.text, any(r.labels)) for r in html_extract.extract(pages, none).collect()} == {("", False)}
+    nulls = html_extract.extract(spark.createDataFrame([(None, None)] * 3, "page_id bigint, html string"), labeller).collect()
+    assert [(r.page_id, r.text, r.n_blocks) for r in nulls] == [(None, "", 0)] * 3
+
+
+def test_a_very_long_page():
+    found = html_extract.blocks("<p>word</p>" * 30_000 + "<article><p>of the matter</p></article>")
+    m = html_extract.Labeller()
+    m.fit([html_extract.vectors(found[-3:])], [np.array([0.0, 0.0, 1.0])], epochs=30)
+    y = m.label([html_extract.vectors(found)])[0]
+    assert len(y) == 30_001 and y[-1] and not y[:-1].any()
+    again = [("marked", p) for p in ("<article>a</article>", "<p>b</p>")] * 2
+    assert html_extract.marked(html_extract.blocks(again[0][1])).tolist() == [1.0] and html_extract.marked(html_extract.blocks(again[1][1])) is None
+
+
+def test_one_page_of_a_repeated_id_is_learnt_from(spark):
+    pages = spark.createDataFrame([(1, f"<article>text {i}</article><p>other</p>") for i in range(300)], "page_id bigint, html string")
+    assert html_extract.train(pages, epochs=1).fitted
 
 
 @pytest.mark.parametrize("page, want", [
