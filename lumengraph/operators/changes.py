@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 
@@ -17,10 +18,17 @@ def _text(x):
     return x if x is None or isinstance(x, str) else json.dumps(x, separators=(",", ":"), ensure_ascii=False)
 
 
+def _when(x):
+    """A time as text; what isn't one is refused before anything is written."""
+    if isinstance(x, str):
+        dt.datetime.fromisoformat(x)
+    return x.isoformat() if isinstance(x, dt.datetime) else x
+
+
 def node_rows(spark: SparkSession, inputs: list[dict], now, clock: int, peer_id: str) -> DataFrame:
     """Rows for node inputs (id, labels, props, embedding, lang, valid_from, caused_by, ttl), with the defaults of a new node."""
     rows = [
-        (x.get("id") or f"N-{uuid.uuid4()}", list(x.get("labels") or []), _text(x.get("props") or {}), scalar.DEFAULT_IMPACT, [float(v) for v in x["embedding"]] if x.get("embedding") else None, x.get("lang") or "en", x.get("valid_from"), x.get("caused_by"), x.get("ttl"), clock + i)
+        (x.get("id") or f"N-{uuid.uuid4()}", list(x.get("labels") or []), _text(x.get("props") or {}), scalar.DEFAULT_IMPACT, [float(v) for v in x["embedding"]] if x.get("embedding") else None, x.get("lang") or "en", _when(x.get("valid_from")), x.get("caused_by"), x.get("ttl"), clock + i)
         for i, x in enumerate(inputs)
     ]
     df = spark.createDataFrame(rows, "id string, labels array<string>, props string, impact double, embedding array<double>, lang string, valid_from string, caused_by string, ttl bigint, time bigint")
@@ -33,7 +41,7 @@ def node_rows(spark: SparkSession, inputs: list[dict], now, clock: int, peer_id:
 
 def edge_rows(spark: SparkSession, inputs: list[dict], now, clock: int, peer_id: str) -> DataFrame:
     """Rows for edge inputs (id, from, to, rel, props, valid_from, impact, caused_by)."""
-    rows = [(x.get("id") or str(uuid.uuid4()), x["from"], x["to"], x["rel"], _text(x.get("props") or {}), x.get("valid_from"), x.get("impact"), x.get("caused_by"), clock + i) for i, x in enumerate(inputs)]
+    rows = [(x.get("id") or str(uuid.uuid4()), x["from"], x["to"], x["rel"], _text(x.get("props") or {}), _when(x.get("valid_from")), x.get("impact"), x.get("caused_by"), clock + i) for i, x in enumerate(inputs)]
     df = spark.createDataFrame(rows, "id string, src string, dst string, rel string, props string, valid_from string, impact double, caused_by string, time bigint")
     at, none = filters.moment(now), F.lit(None)
     return df.select(
@@ -43,9 +51,9 @@ def edge_rows(spark: SparkSession, inputs: list[dict], now, clock: int, peer_id:
 
 
 def put(table: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows in place of current ones of the same id; closed versions stay."""
-    current = table.where("valid_to IS NULL").join(new.select("id"), "id", "left_anti")
-    return table.where("valid_to IS NOT NULL").unionByName(current).unionByName(new.select(*table.columns))
+    """New rows in place of current ones of the same id; closed versions stay. The table is read once."""
+    by = new.select(F.col("id").alias("_id"))
+    return table.join(by, (table["id"] == by["_id"]) & table["valid_to"].isNull(), "left_anti").unionByName(new.select(*table.columns))
 
 
 def close(table: DataFrame, ids: DataFrame, at) -> DataFrame:
@@ -74,8 +82,14 @@ def versions(rows: DataFrame, *ties: str) -> DataFrame:
 
 
 def at_times(history: DataFrame, times: DataFrame) -> DataFrame:
-    """For times (id, t), the version of each id that holds at t. An interval join on the id."""
-    return times.join(history, "id").where((F.col("valid_from") <= F.col("t")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
+    """For times (id, t), the version of each id that holds at t. Versions of an id follow one another, so one sorted pass over both finds it: no version meets a time but the one before it."""
+    held, asked = ([c for c in d.columns if c != "id"] for d in (history, times))
+    none = lambda d, cols: F.lit(None).cast(d.select(F.struct(*cols)).schema[0].dataType)
+    v = history.where("id IS NOT NULL").select("id", F.col("valid_from").alias("_t"), F.col("valid_to").alias("_end"), F.struct(*held).alias("_v"), none(times, asked).alias("_q"))
+    q = times.where("id IS NOT NULL AND t IS NOT NULL").select("id", F.col("t").cast(v.schema["_t"].dataType), F.lit(None).cast(v.schema["_end"].dataType), none(history, held), F.struct(*asked))
+    w = Window.partitionBy("id").orderBy("_t", F.col("_q").isNotNull(), F.col("_end").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = v.union(q).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_q IS NOT NULL AND _v IS NOT NULL")
+    return found.select("id", "_q.*", "_v.*").where(F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to")))
 
 
 def retract_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -81,6 +81,18 @@ def govern(nodes: DataFrame, system: bool = False) -> None:
         raise Forbidden("403 Forbidden: only the system writes nodes of tier MASTER")
 
 
+def govern_inputs(labels: list[list[str]], system: bool = False) -> None:
+    """The same rule over labels that are still on the driver, before any row is made of them."""
+    if not system and any(x.upper() == "MASTER" for own in labels for x in own or []):
+        raise Forbidden("403 Forbidden: only the system writes nodes of tier MASTER")
+
+
+def batches_accepted(nodes: DataFrame, batch: str, system: bool = False) -> DataFrame:
+    """(batch, accepted, n): a batch is accepted as a whole or not at all. One aggregate, however many batches."""
+    master = F.bool_or(scalar.tier(F.col("labels")) == "MASTER")
+    return nodes.groupBy(batch).agg((F.lit(system) | ~F.coalesce(master, F.lit(False))).alias("accepted"), F.count("*").alias("n"))
+
+
 def untimed_specs(nodes: DataFrame) -> DataFrame:
     """SPEC nodes without a time from which they hold."""
     return nodes.where((scalar.tier(F.col("labels")) == "SPEC") & F.col("valid_from").isNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ STEP = "seed string, id string, depth int, path array<string>"
 
 def steps(edges: DataFrame, direction: str = "out") -> DataFrame:
     """(at, to, edge): where an edge leads from either end it may be walked from."""
-    out = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("id").alias("edge"))
-    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.col("id").alias("edge"))
-    return {"out": out, "in": back, "both": out.union(back)}[direction]
+    way = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("to"), F.col("id").alias("edge"))
+    ways = {"out": [way("src", "dst")], "in": [way("dst", "src")], "both": [way("src", "dst"), way("dst", "src")]}[direction]
+    # Both ways come of one scan.
+    return edges.select(F.inline(F.array(*ways))) if len(ways) > 1 else edges.select(ways[0].alias("w")).select("w.*")
 
 
 def as_seeds(spark: SparkSession, seeds) -> DataFrame:
@@ -28,31 +30,34 @@ def as_seeds(spark: SparkSession, seeds) -> DataFrame:
 
 
 def neighbors(
-    nodes: DataFrame, edges: DataFrame, seeds, depth: int | None = 1, rel: str | None = None, rels: list[str] | None = None, direction: str = "out",
-    as_of=None, include_invalid: bool = False, limit: int | None = None, by_impact: bool = False,
+    nodes: DataFrame | None, edges: DataFrame, seeds, depth: int | None = 1, rel: str | None = None, rels: list[str] | None = None, direction: str = "out",
+    as_of=None, include_invalid: bool = False, limit: int | None = None, by_impact: bool = False, paths: bool = True,
 ) -> DataFrame:
     """(seed, id, depth, path): every node within depth steps of a seed, once, at its least depth; None walks until nothing is new.
 
-    Edges and nodes must be valid at the time; the seed itself needn't be, nor exist. Of several shortest paths the least by edge ids is kept.
-    A limit keeps the nearest by (depth, id) a seed.
+    Edges and nodes must be valid at the time; the seed itself needn't be, nor exist. Without nodes every end of an edge counts. Of several shortest
+    paths the least by edge ids is kept; without paths none is carried. A limit keeps the nearest by (depth, id) a seed.
     """
-    spark = nodes.sparkSession
+    spark = edges.sparkSession
     walk = steps(filters.as_of(filters.relations(edges, rel, rels), as_of, include_invalid), direction)
-    there = filters.as_of(nodes, as_of, include_invalid).select("id").distinct()
-    frontier = as_seeds(spark, seeds).select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
+    there = None if nodes is None else filters.as_of(nodes, as_of, include_invalid).select("id")
+    frontier = as_seeds(spark, seeds).select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), *([F.array().cast("array<string>").alias("path")] if paths else []))
     levels, seen, at = [], frontier.select("seed", "id"), 0
     while depth is None or at < depth:
         at += 1
         # A small frontier goes to the edges, which then needn't move; a large one meets them by shuffle.
-        found = checked_broadcast(frontier).join(walk, frontier.id == walk.at).select("seed", F.col("to").alias("id"), F.lit(at).alias("depth"), F.concat("path", F.array("edge")).alias("path"))
-        found = checkpointed(found.join(seen, ["seed", "id"], "left_anti").groupBy("seed", "id", "depth").agg(F.min("path").alias("path")))
-        exists = there.join(checked_broadcast(found.select("id").distinct()), "id", "left_semi")
-        frontier = checkpointed(found.join(exists, "id", "left_semi").select("seed", "id", "depth", "path"))
+        found = checked_broadcast(frontier).join(walk, frontier.id == walk.at).select("seed", F.col("to").alias("id"), F.lit(at).alias("depth"), *([F.concat("path", F.array("edge")).alias("path")] if paths else []))
+        found = found.join(seen, ["seed", "id"], "left_anti")
+        frontier = checkpointed(found.groupBy("seed", "id", "depth").agg(F.min("path").alias("path")) if paths else found.distinct())
+        if there is not None:
+            # Only the ids that were found look for their nodes.
+            exists = there.join(checked_broadcast(frontier.select("id").distinct()), "id", "left_semi")
+            frontier = checkpointed(frontier.join(exists, "id", "left_semi").select(*frontier.columns))
         if not frontier.limit(1).count():
             break
         levels.append(frontier)
         seen = seen.union(frontier.select("seed", "id"))
-    out = reduce(DataFrame.union, levels) if levels else spark.createDataFrame([], STEP)
+    out = reduce(DataFrame.union, levels) if levels else spark.createDataFrame([], STEP if paths else STEP.rpartition(",")[0])
     if limit is not None:
         out = out.withColumn("n", F.expr("row_number() over (partition by seed order by depth, id)")).where(F.col("n") <= limit).drop("n")
     if by_impact:
@@ -69,40 +74,82 @@ def inferred(nodes: DataFrame, edges: DataFrame, seeds, aliases: dict[str, str],
     return closure(nodes, edges, seeds, aliases.get(rel, rel), **more)
 
 
-def causes(nodes: DataFrame, seeds, depth: int | None = None) -> DataFrame:
-    """The chain of caused_by from each seed: (seed, id, depth, path of the nodes passed)."""
+def all_reached(links: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, id, depth, path) of links (id, src, dst) from every source at once, each pair at its least depth and by the least path.
+
+    By doubling: whoever is 2**k + d steps away is d steps from somebody who is 2**k away. So a chain of n links takes the logarithm of n rounds.
+    """
+    near = links.where("src <> dst").groupBy(F.col("src").alias("seed"), F.col("dst").alias("id")).agg(F.min("id").alias("e"))
+    new, size = checkpointed(near.select("seed", "id", F.lit(1).alias("depth"), F.array("e").alias("path"))), 1
+    whole = new
+    while (depth is None or size < depth) and new.limit(1).count():
+        far = whole.where(F.col("depth") == size).select("seed", F.col("id").alias("mid"), F.col("path").alias("way"))
+        met = far.join(whole.withColumnRenamed("seed", "mid"), "mid").where("seed <> id").select("seed", "id", (F.col("depth") + size).alias("depth"), F.concat("way", "path").alias("path"))
+        met = met if depth is None else met.where(F.col("depth") <= depth)
+        best = met.join(whole.select("seed", "id"), ["seed", "id"], "left_anti").groupBy("seed", "id").agg(F.min(F.struct("depth", "path")).alias("m"))
+        new = checkpointed(best.select("seed", "id", "m.depth", "m.path"))
+        whole, size = whole.union(new), 2 * size
+    return whole
+
+
+def causes(nodes: DataFrame, seeds=None, depth: int | None = None) -> DataFrame:
+    """The chain of caused_by from each seed: (seed, id, depth, path of the nodes passed). Without seeds from every node, in a logarithm of the longest chain's rounds. Causes that don't exist aren't given."""
     links = nodes.where("caused_by IS NOT NULL").select(F.col("id").alias("src"), F.col("caused_by").alias("dst"), F.col("id").alias("id"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit("caused_by").alias("rel"))
+    if seeds is None:
+        return all_reached(links.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), depth)
     return neighbors(nodes.select("id", F.lit(None).cast("timestamp").alias("valid_to")), links, seeds, depth)
 
 
 def context(nodes: DataFrame, edges: DataFrame, target: str, tier: str = "H1", budget: int | None = None, super_nodes: DataFrame | None = None) -> dict:
     """Nodes within the tier's hops both ways, the edges touched on the way, an estimate of tokens and a trace.
 
-    Over the budget nodes and edges stay empty and all cluster summaries come instead. An unknown target gives an empty package.
+    Over the budget nodes and edges stay empty and all cluster summaries come instead. Without a budget nothing is estimated. An unknown target gives an empty package.
     """
     spark, n = nodes.sparkSession, scalar.HOPS.get(tier, 1)
     empty = super_nodes.limit(0) if super_nodes is not None else None
     known = nodes.where(F.col("id") == target).limit(1).count() or edges.where((F.col("src") == target) | (F.col("dst") == target)).limit(1).count()
     if not known:
         return {"nodes": nodes.limit(0), "edges": edges.limit(0), "super_nodes": empty, "token_estimate": 0, "trace": ""}
-    every = nodes.select("id").union(edges.select("src")).union(edges.select("dst")).distinct().withColumn("valid_to", F.lit(None).cast("timestamp"))
-    reached = neighbors(every, edges.withColumn("valid_to", F.lit(None).cast("timestamp")), [target], n, direction="both").select("id", "depth")
+    # Ends that are no nodes lead on too.
+    reached = neighbors(None, edges, [target], n, direction="both", include_invalid=True, paths=False).select("id", "depth")
     reached = checkpointed(reached.union(spark.createDataFrame([(target, 0)], "id string, depth int")))
-    found = nodes.join(reached.select("id"), "id", "left_semi")
+    found = nodes.join(checked_broadcast(reached.select("id")), "id", "left_semi")
     inner = reached.where(F.col("depth") < n).select("id")
-    touched = edges.join(inner, edges.src == inner.id, "left_semi").union(edges.join(inner, edges.dst == inner.id, "left_semi")).dropDuplicates(["id"])
-    estimate = token_estimate(found)
+    near = checked_broadcast(inner)
+    # An edge is touched from either end, and read once.
+    by = near.select(F.col("id").alias("_src"), F.lit(True).alias("_out")), near.select(F.col("id").alias("_dst"), F.lit(True).alias("_in"))
+    touched = edges.join(by[0], F.col("src") == F.col("_src"), "left").join(by[1], F.col("dst") == F.col("_dst"), "left").where("_out OR _in").select(*edges.columns).dropDuplicates(["id"])
+    estimate = token_estimate(found) if budget is not None else None
     out = {"nodes": found, "edges": touched, "super_nodes": empty, "token_estimate": estimate, "trace": f"Resolved {target} as of Tier {tier} ({n} hops)"}
     if budget is not None and estimate > budget:
         out |= {"nodes": nodes.limit(0), "edges": edges.limit(0), "super_nodes": super_nodes}
     return out
 
 
+def as_json(package: dict) -> DataFrame:
+    """(part, json): a context as JSON, an object a row: its head with estimate and trace, then its nodes, edges and super_nodes."""
+    spark = package["nodes"].sparkSession
+    head = spark.createDataFrame([("head", json.dumps({"token_estimate": package["token_estimate"], "trace": package["trace"]}, separators=(",", ":")))], "part string, json string")
+    rows = [package[k].select(F.lit(k).alias("part"), F.to_json(F.struct(*package[k].columns)).alias("json")) for k in ("nodes", "edges", "super_nodes") if package[k] is not None]
+    return reduce(DataFrame.union, rows, head)
+
+
 def token_estimate(nodes: DataFrame) -> int:
     """A quarter of the bytes of all properties as compact JSON, rounded down."""
     return nodes.agg(F.floor(F.coalesce(F.sum(scalar.compact_bytes(F.col("props"))), F.lit(0)) / 4)).first()[0]
 
 
+def token_estimates(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, tokens): the same by group."""
+    return rows.groupBy(*by).agg(F.floor(F.coalesce(F.sum(scalar.compact_bytes(F.col("props"))), F.lit(0)) / 4).alias("tokens"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(id, n_out, n_in) of every end of an edge: how many steps lead out of it and into it. The edges are read once."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    return ends.groupBy("x.id").agg(F.sum("x.o").alias("n_out"), F.sum("x.i").alias("n_in"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, in_degree) by distinct edge id."""
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("id").alias("in_degree"))

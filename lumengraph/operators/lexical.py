@@ -19,10 +19,17 @@ BLOCK = 2048
 
 
 def postings(ids: DataFrame) -> DataFrame:
-    """(token, id)."""
+    """(token, id): the inverted index of identifiers."""
     return ids.select(F.explode(scalar.tokens(F.col("id"))).alias("token"), "id").distinct()
 
 
+def sharing(ids: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id, shared): by the index, the ids that share tokens with a query, and how many. Single characters are tokens too, so this suits few queries or rare tokens; resolve() compares blocks."""
+    q = queries.select(F.col(queries.columns[0]).alias("query"))
+    asked = q.distinct().select("query", F.explode(scalar.tokens(F.col("query"))).alias("token"))
+    return asked.join(postings(ids), "token").groupBy("query", "id").agg(F.count("*").alias("shared"))
+
+
 def interned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every identifier in use: nodes, edges, and ends of edges whether or not they exist."""
     return nodes.select("id").union(edges.select("id")).union(edges.select("src")).union(edges.select("dst")).distinct()
@@ -54,6 +61,6 @@ def resolve(ids: DataFrame, queries: DataFrame, threshold: float = THRESHOLD, bl
                         out.append((text, min(some[i] for i in np.flatnonzero(score == best)), best))
                 yield pd.DataFrame(out, columns=["query", "id", "score"])
 
-    found = block_pairs(in_blocks(own, block), in_blocks(q, block)).mapInPandas(run, "query string, id string, score double")
+    found = block_pairs(in_blocks(own, block), in_blocks(q, block), 1000).mapInPandas(run, "query string, id string, score double")
     best = found.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("query", F.col("b.id").alias("id"), F.least(-F.col("b.s"), F.lit(1.0)).alias("score"))
     return best.where(F.col("score") > threshold)

@@ -67,14 +67,8 @@ def conflicts(vectors: DataFrame, nodes: DataFrame, query, labels: list[str]) ->
     return bool(hits.where((F.col("score") > 0.8) & (F.col("labels") != own) & F.array_contains("labels", "MASTER")).limit(1).count())
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, node_id, dist, rank): the k nearest of vectors (node_id, embedding) to each of queries (query_id, embedding), exact.
-
-    Both sides are gathered into blocks, and each pair of blocks is one matrix product in numpy, of which only the k best a query go on.
-    Vectors meet queries of their own length only. Ties go by id.
-    """
-    kinds = dict(vectors.dtypes)["node_id"], dict(queries.dtypes)["query_id"]
-    v, q = (d.where(F.col("embedding").isNotNull()).select(F.col(c).alias("id"), F.col("embedding").cast("array<double>").alias("e")) for d, c in ((vectors, "node_id"), (queries, "query_id")))
+def best_of_pairs(k: int):
+    """For mapInArrow over pairs (left, right) of blocks of (id, e): of each right row the k nearest left ones, as (query_id, node_id, dist). Rows meet those of their own length only."""
 
     def by_length(rows: pa.StructArray) -> dict[int, tuple[pa.Array, np.ndarray]]:
         ids, e = rows.field("id"), rows.field("e")
@@ -99,6 +93,18 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = BL
                     keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < kk
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi[keep])), own.take(pa.array(vi[keep])), pa.array(exact[keep])], names=["query_id", "node_id", "dist"])
 
-    found = block_pairs(in_blocks(v, block), in_blocks(q, block)).mapInArrow(run, f"query_id {kinds[1]}, node_id {kinds[0]}, dist double")
+    return run
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, node_id, dist, rank): the k nearest of vectors (node_id, embedding) to each of queries (query_id, embedding), exact.
+
+    Both sides are gathered into blocks, and each pair of blocks is one matrix product in numpy, of which only the k best a query go on:
+    the work grows with rows times queries, where index.nearest() visits some cells. Vectors meet queries of their own length only. Ties go by id.
+    """
+    kinds = dict(vectors.dtypes)["node_id"], dict(queries.dtypes)["query_id"]
+    v, q = (d.where(F.col("embedding").isNotNull()).select(F.col(c).alias("id"), F.col("embedding").cast("array<double>").alias("e")) for d, c in ((vectors, "node_id"), (queries, "query_id")))
+    size = q.agg(F.coalesce(F.max(F.size("e")), F.lit(0))).first()[0]
+    found = block_pairs(in_blocks(v, block), in_blocks(q, block), 8 * size + 16).mapInArrow(best_of_pairs(k), f"query_id {kinds[1]}, node_id {kinds[0]}, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "node_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
+
 
 def latest(rows: DataFrame, key: str = "id", clock: str = "clock") -> DataFrame:
     """The row of the greatest clock by key; of equal clocks the greatest row by its other columns. One shuffle, combined on the map side."""
@@ -15,13 +19,19 @@ def latest(rows: DataFrame, key: str = "id", clock: str = "clock") -> DataFrame:
     return best.select(*(F.col(key) if c == key else F.col("m.c").alias(clock) if c == clock else F.col(f"m.{c}").alias(c) for c in rows.columns))
 
 
-def trusted(events: DataFrame, peers: DataFrame, local_peer: str, verify: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """Events (signer, payload, signature, ...) of the local peer, and of known peers whose signature holds. Without a verifier, unsigned and all-zero signatures are refused."""
-    known = peers.select(F.col("peer_id").alias("signer"), "public_key")
+def trusted(events: DataFrame, peers: DataFrame, local_peer: str, verify: Callable[[Column, Column, Column], Column] | None = ed25519.verified) -> DataFrame:
+    """Events (signer, payload, signature, ...) of the local peer, and of known peers whose signature verify(key, payload, signature) accepts. Without a verifier no remote event is trusted."""
     own = events.where(F.col("signer") == local_peer)
+    if verify is None:
+        return own
+    known = peers.select(F.col("peer_id").alias("signer"), "public_key")
     remote = events.where(F.col("signer") != local_peer).join(known, "signer")
-    holds = verify(F.col("public_key"), F.col("payload"), F.col("signature")) if verify else F.col("signature").isNotNull() & ~F.hex("signature").rlike("^0*$")
-    return own.unionByName(remote.where(holds).select(*events.columns))
+    return own.unionByName(remote.where(verify(F.col("public_key"), F.col("payload"), F.col("signature"))).select(*events.columns))
+
+
+def peer_of(public_key: bytes) -> str:
+    """The id of a peer: the first 16 hex digits of its key's SHA-256."""
+    return hashlib.sha256(public_key).hexdigest()[:16]
 
 
 def refused(events: DataFrame, peers: DataFrame, local_peer: str) -> DataFrame:
@@ -30,10 +40,20 @@ def refused(events: DataFrame, peers: DataFrame, local_peer: str) -> DataFrame:
 
 
 def merge(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Local and remote versions by id; a remote one of an equal clock applies. The order of arrival doesn't matter."""
+    """Local and remote versions by id, and by valid_from where the tables have histories; a remote one of an equal clock applies. The order of arrival doesn't matter.
+
+    Of several versions of an id without an end the one of the greatest clock stays. Aggregates only, combined on the map side.
+    """
     both = local.withColumn("_side", F.lit(0)).unionByName(remote.select(*local.columns).withColumn("_side", F.lit(1)))
-    w = Window.partitionBy("id").orderBy(F.desc("clock"), F.desc("_side"), *(F.desc(c) for c in local.columns if c not in ("id", "clock")))
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_side")
+    versioned = {"valid_from", "valid_to"} <= set(local.columns)
+    key = ["id", "valid_from"] if versioned else ["id"]
+    rest = [c for c in local.columns if c not in (*key, "clock")]
+    best = both.groupBy(*key).agg(F.max(F.struct("clock", "_side", *rest)).alias("m")).select(*key, "m.*")
+    if versioned:
+        mark = F.struct("clock", "_side", "valid_from")
+        live = best.where("valid_to IS NULL").groupBy("id").agg(F.max(mark).alias("_last"))
+        best = best.join(live, "id", "left").where(F.col("valid_to").isNotNull() | mark.eqNullSafe(F.col("_last")))
+    return best.select(*local.columns)
 
 
 def logical_clock(rows: DataFrame) -> int:
@@ -41,6 +61,11 @@ def logical_clock(rows: DataFrame) -> int:
     return rows.agg(F.coalesce(F.max("clock.time"), F.lit(0))).first()[0]
 
 
+def clocks(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, clock, next): the greatest time seen in each group, and the one that the next event gets."""
+    return rows.groupBy(*by).agg(F.coalesce(F.max("clock.time"), F.lit(0)).alias("clock")).withColumn("next", F.col("clock") + 1)
+
+
 def next_clock(rows: DataFrame, remote: int = 0) -> int:
     return max(logical_clock(rows), remote) + 1
 
@@ -58,9 +83,19 @@ def promote(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    """(digest): SHA-256 of all lines (position, line) in order without separators; 64 zeros for none. One value over the whole log is one row's work: use digests() for a large log."""
-    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]))
-    return lines.agg(F.when(F.count("*") == 0, F.lit("0" * 64)).otherwise(F.sha2(whole, 256)).alias("digest"))
+    """(digest): SHA-256 of all lines (position, line) in order without separators; 64 zeros for none. The sorted lines stream through one task, which holds one batch of them; digests() runs in parallel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = hashlib.sha256(), 0
+        for b in batches:
+            for x in b.column(0):
+                h.update((x.as_py() or "").encode())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["digest"])
+
+    one = lines.repartition(1).sortWithinPartitions("position").select("line").mapInArrow(run, "digest string")
+    return one.agg(F.coalesce(F.max("digest"), F.lit("0" * 64)).alias("digest"))
 
 
 def digests(lines: DataFrame, block: int = 10_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, on_graph, on_sync, on_tables, on_vectors  # noqa: F401
+from . import base, on_graph, on_store, on_sync, on_tables, on_vectors  # noqa: F401
 
 
 def flagship(spark, sf_dir):

@@ -26,7 +26,7 @@ SELECT seed, id, depth, array_to_string(path, '>') AS path FROM (FROM one UNION
 def neighbors(spark, sf_dir):
     """Two steps from every order: its customer, and the customer's nation."""
     n, e = parts(spark, sf_dir)
-    return flat(graph.neighbors(n, e, n.where("id LIKE 'O-%'").select("id"), 2))
+    return flat(graph.neighbors(n, e, tables.business_nodes(spark, sf_dir, "O").select("id"), 2))
 
 
 @query("t1_neighbors_as_of", f"""WITH {NODES}, {EDGES}, live AS (SELECT * FROM edges WHERE valid_from <= TIMESTAMP '1996-06-01' AND (valid_to IS NULL OR TIMESTAMP '1996-06-01' < valid_to) AND rel IN ('PLACED_BY', 'CONTAINS')),
@@ -35,7 +35,7 @@ SELECT a AS seed, b AS id, 1 AS depth, min(id) AS path FROM both_ways WHERE a LI
 def neighbors_as_of(spark, sf_dir):
     """A step from every customer, both ways, over two types of edge, at a time."""
     n, e = parts(spark, sf_dir)
-    return flat(graph.neighbors(n, e, n.where("id LIKE 'C-%'").select("id"), 1, rels=["PLACED_BY", "CONTAINS"], direction="both", as_of="1996-06-01T00:00:00"))
+    return flat(graph.neighbors(n, e, tables.business_nodes(spark, sf_dir, "C").select("id"), 1, rels=["PLACED_BY", "CONTAINS"], direction="both", as_of="1996-06-01T00:00:00"))
 
 
 @query("t2_hql_traverse", f"WITH {EDGES} SELECT dst AS id, 1 AS depth FROM edges WHERE src = 'C-7' AND rel = 'LOCATED_IN' AND valid_to IS NULL")
@@ -53,7 +53,8 @@ SELECT seed, id, min(depth) AS depth FROM walk GROUP BY 1, 2"""
 def closure(spark, sf_dir):
     """All that customers and suppliers lie in, however far."""
     n, e = parts(spark, sf_dir)
-    return graph.closure(n, e, n.where("id LIKE 'C-%' OR id LIKE 'S-%'").select("id")).select("seed", "id", "depth")
+    seeds = tables.business_nodes(spark, sf_dir, "C").select("id").union(tables.business_nodes(spark, sf_dir, "S").select("id"))
+    return graph.closure(n, e, seeds, paths=False)
 
 
 def next_customers(spark, sf_dir):
@@ -96,8 +97,7 @@ def hql_context(spark, sf_dir):
 
 @query("t7_token_estimate", "SELECT event_type, CAST(floor(sum(octet_length(encode(json(props)))) / 4) AS BIGINT) AS tokens FROM events GROUP BY 1")
 def token_estimate(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.floor(F.sum(scalar.compact_bytes(F.col("props"))) / 4).alias("tokens"))
+    return graph.token_estimates(tables.table(spark, sf_dir, "events"), "event_type")
 
 
 @query("t11_degrees", f"WITH {EDGES} SELECT dst AS id, count(DISTINCT id) AS in_degree FROM edges GROUP BY 1")
@@ -134,28 +134,18 @@ def caused_orders(spark, sf_dir):
     return spark.sql("SELECT CAST(o_orderkey AS STRING) AS id, CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS STRING) AS caused_by FROM {o}", o=tables.table(spark, sf_dir, "orders"))
 
 
-@query("t14_causes", """WITH o AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER w AS cause, row_number() OVER w AS n, lead(o_orderkey) OVER w AS nxt, o_custkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
-SELECT CAST(s.k AS VARCHAR) AS seed, CAST(o.k AS VARCHAR) AS id, CAST(s.n - o.n AS INTEGER) AS depth FROM o s JOIN o USING (o_custkey) WHERE s.n > o.n AND s.n - o.n <= 4""")
-def causes(spark, sf_dir):
-    """Four steps back from every order; t14_causes_whole has the whole chains."""
-    o = caused_orders(spark, sf_dir)
-    return graph.causes(o, o.select("id"), 4).select("seed", "id", "depth")
-
-
-@query("t14_causes_whole", """WITH o AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_custkey FROM orders)
+@query("t14_causes", """WITH o AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_custkey FROM orders)
 SELECT CAST(s.k AS VARCHAR) AS seed, CAST(o.k AS VARCHAR) AS id, CAST(s.n - o.n AS INTEGER) AS depth FROM o s JOIN o USING (o_custkey) WHERE s.n > o.n""")
-def causes_whole(spark, sf_dir):
+def causes(spark, sf_dir):
     """The whole chain that led to every order, back to its customer's first."""
-    o = caused_orders(spark, sf_dir)
-    return graph.causes(o, o.select("id")).select("seed", "id", "depth")
+    return graph.causes(caused_orders(spark, sf_dir)).select("seed", "id", "depth")
 
 
-@query("t16_cooccurrence", """WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM part),
+@query("t16_cooccurrence", """WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT unnest(generate_series(1, len(w))) AS i, w FROM w), q AS (SELECT w[i] AS x, unnest(w[i + 1 : i + 3]) AS y FROM p)
 SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM q WHERE x <> y GROUP BY 1, 2""")
 def cooccurrence(spark, sf_dir):
-    t = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
-    return graph.cooccurrence(t, 3)[1]
+    return graph.cooccurrence(tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 3)[1]
 
 
 @query("t16_terms", """SELECT term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\pL\\pN]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1""")

@@ -37,7 +37,8 @@ def trusted_signers(spark, sf_dir):
     """Peer 0 is local, peer 3 is unknown, and every third signature of the others is all zeros."""
     e = tables.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).cast("string").alias("signer"), F.col("props").alias("payload"), F.when(F.col("event_id") % 3 == 0, F.unhex(F.lit("0000"))).otherwise(F.unhex(F.lit("00ab"))).alias("signature"))
     peers = spark.createDataFrame([(str(i), bytearray(b"k")) for i in (0, 1, 2)], "peer_id string, public_key binary")
-    return sync.trusted(e, peers, "0").select("event_id", F.col("signer").cast("bigint").alias("signer"))
+    marked = lambda key, payload, signature: ~F.hex(signature).rlike("^0*$")
+    return sync.trusted(e, peers, "0", marked).select("event_id", F.col("signer").cast("bigint").alias("signer"))
 
 
 @query("j14_refused_signers", "SELECT event_id FROM events WHERE user_id % 4 = 3")
@@ -62,8 +63,8 @@ def promote(spark, sf_dir):
 
 @query("a13_logical_clock", "SELECT user_id % 4 AS peer, max(event_id) AS clock, max(event_id) + 1 AS next FROM events GROUP BY 1")
 def logical_clock(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % 4).alias("peer")).agg(F.max("event_id").alias("clock"), (F.max("event_id") + 1).alias("next"))
+    e = tables.table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("peer"), F.struct(F.col("event_id").alias("time")).alias("clock"))
+    return sync.clocks(e, "peer")
 
 
 @query("a15_latency_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
@@ -90,15 +91,18 @@ def unlinked_adrs(spark, sf_dir):
     return filters.unlinked_adrs(tables.business_nodes(spark, sf_dir), e).select("id")
 
 
-@query("g12_supersedes_cycles", "WITH s AS (SELECT DISTINCT c_nationkey % 5 AS a, (c_nationkey + 1) % 4 AS b FROM customer), e AS (SELECT a, b FROM s WHERE a <> b), w AS (SELECT a, b FROM e) SELECT DISTINCT CAST(x.a AS VARCHAR) AS seed, CAST(y.a AS VARCHAR) AS id FROM r x JOIN r y ON x.b = y.a AND y.b = x.a WHERE x.a <> y.a".replace("w AS (SELECT a, b FROM e)", "r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)").replace("WITH s", "WITH RECURSIVE s"))
+@query("g12_supersedes_cycles", """WITH n AS (SELECT c_custkey AS k, row_number() OVER w AS i, count(*) OVER (PARTITION BY c_nationkey, c_custkey % 37) AS size, c_nationkey AS nation, c_custkey % 37 AS ring FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_custkey % 37 ORDER BY c_custkey))
+SELECT CAST(a.k AS VARCHAR) AS seed, CAST(b.k AS VARCHAR) AS id FROM n a JOIN n b ON a.nation = b.nation AND a.ring = b.ring AND a.k <> b.k WHERE a.ring % 2 = 0""")
 def supersedes_cycles(spark, sf_dir):
-    c = tables.table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).cast("string").alias("src"), ((F.col("c_nationkey") + 1) % 4).cast("string").alias("dst")).distinct().where("src <> dst")
-    e = c.select(F.concat_ws(">", "src", "dst").alias("id"), "src", "dst", F.lit("supersedes").alias("rel"), F.lit(None).cast("timestamp").alias("valid_to"))
-    n = e.select(F.col("src").alias("id"), "valid_to").union(e.select("dst", "valid_to")).distinct()
-    return sync.cyclic_supersedes(graph.closure(n, e, n.select("id"), "supersedes").where("seed <> id").select("seed", "id"))
+    """Customers supersede the next of their nation and group; in every other group the last one supersedes the first, so all of it supersede one another."""
+    c = spark.sql("SELECT c_custkey AS k, c_custkey % 37 AS ring, lead(c_custkey) OVER w AS nxt, first_value(c_custkey) OVER w AS fst FROM {c} WINDOW w AS (PARTITION BY c_nationkey, c_custkey % 37 ORDER BY c_custkey)", c=tables.table(spark, sf_dir, "customer"))
+    to = F.coalesce("nxt", F.when(F.col("ring") % 2 == 0, F.col("fst")))
+    e = c.select(F.col("k").cast("string").alias("src"), to.cast("string").alias("dst")).where("dst IS NOT NULL AND src <> dst").withColumn("id", F.concat_ws(">", "src", "dst"))
+    return sync.cyclic_supersedes(graph.all_reached(e).select("seed", "id"))
 
 
-@query("g12_contradictions", "SELECT DISTINCT 'i' || a.p_partkey AS id FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size % 3 = 0 AND (a.p_partkey + b.p_partkey) % 4 = 3 AND b.p_size % 2 = 0 AND a.p_size % 2 = 0")
+@query("g12_contradictions", """WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part), i AS (SELECT 'n' || k AS id, k AS a, k + 1 AS c FROM p WHERE s % 2 = 0 UNION ALL SELECT 'i' || k, k, k + 2 FROM p WHERE s % 2 = 0 AND k % 2 = 1), x AS (SELECT k AS a, k + 1 AS b FROM p WHERE s % 3 = 0)
+SELECT id FROM i WHERE EXISTS (SELECT 1 FROM x JOIN i j ON j.a = x.b WHERE x.a = i.a AND j.c = i.c)""")
 def contradictions(spark, sf_dir):
     """Parts imply (size even) the part two numbers up and their next; they contradict (size a multiple of 3) their next."""
     p = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
@@ -106,18 +110,19 @@ def contradictions(spark, sf_dir):
     implies = p.where("s % 2 = 0").select(F.concat(F.lit("n"), key(F.col("k"))).alias("id"), key(F.col("k")).alias("src"), key(F.col("k") + 1).alias("dst"), F.lit("implies").alias("rel"))
     far = p.where("s % 2 = 0 AND k % 2 = 1").select(F.concat(F.lit("i"), key(F.col("k"))).alias("id"), key(F.col("k")).alias("src"), key(F.col("k") + 2).alias("dst"), F.lit("implies").alias("rel"))
     against = p.where("s % 3 = 0").select(F.concat(F.lit("c"), key(F.col("k"))).alias("id"), key(F.col("k")).alias("src"), key(F.col("k") + 1).alias("dst"), F.lit("contradicts").alias("rel"))
-    return sync.contradictory_implications(implies.union(far).union(against)).where("id LIKE 'i%'").select("id")
+    return sync.contradictory_implications(implies.union(far).union(against)).select("id")
 
 
 @query("p5_stream_state", LAST)
 def stream_state(spark, sf_dir):
-    """The events as a log in the shared folder, read as a stream; the state after its last batch."""
+    """The events as a log in the shared folder, in several appends and batches, read as a stream; the state after its last batch."""
     path = f"{runtime.shared_folder(spark)}/stream-{uuid.uuid4()}"
-    tables.append_log(event_lines(spark, sf_dir), f"{path}/log")
-    q = log.to_table(log.read(spark, f"{path}/log"), f"{path}/state", f"{path}/checkpoint")
+    lines = event_lines(spark, sf_dir)
+    for part in range(3):
+        tables.append_log(lines.where(F.col("position") % 3 == part), f"{path}/log")
+    q = log.to_table(log.read(spark, f"{path}/log", 10), f"{path}/state", f"{path}/checkpoint")
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    last = q.lastProgress["batchId"] + 1
-    s = spark.read.parquet(f"{path}/state/v{last}").where("kind = 'Node'")
+    s = log.state(spark, f"{path}/state").where("kind = 'Node'")
     return s.select("id", F.col("clock.time").alias("time"), F.get_json_object("payload", "$.labels[0]").alias("label"), F.get_json_object("payload", "$.props.k").cast("bigint").alias("k"))

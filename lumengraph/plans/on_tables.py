@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from ..functions import scalar
-from ..operators import changes, filters, sync
+from ..operators import changes, filters, graph, sync
 from ..sources import tables
 from .base import EDGES, GRAPH, NODES, WHEN, query, when
 
@@ -29,10 +29,28 @@ def event_lines(spark, sf_dir):
 LAST = "SELECT 'U-' || user_id AS id, max(event_id) AS time, arg_max(event_type, event_id) AS label, arg_max(CAST(props->>'$.k' AS BIGINT), event_id) AS k FROM events GROUP BY user_id"
 
 
-@query("s1_log_replay", LAST)
+REPLAYED = """WITH e AS (SELECT *, event_id % 5 AS f, CASE WHEN event_id % 11 = 0 THEN 'd' ELSE 'n' END AS what FROM events),
+n AS (SELECT user_id, max(event_id) AS last FROM e WHERE what = 'n' GROUP BY 1), d AS (SELECT user_id, max(event_id) AS gone FROM e WHERE what = 'd' GROUP BY 1),
+kept AS (SELECT n.user_id, last, gone FROM n LEFT JOIN d USING (user_id))
+SELECT 'Node' AS kind, 'U-' || k.user_id AS id, last AS time, event_type AS label FROM kept k JOIN events ON event_id = last WHERE gone IS NULL OR gone < last
+UNION ALL SELECT 'Edge', 'E-' || e.event_id, e.event_id, e.event_type FROM e JOIN kept k USING (user_id) WHERE f = 2 AND what = 'n' AND (gone IS NULL OR gone < e.event_id)"""
+
+
+@query("s1_log_replay", REPLAYED)
 def log_replay(spark, sf_dir):
-    r = tables.replay(event_lines(spark, sf_dir)).where("kind = 'Node'")
-    return r.select("id", "time", F.get_json_object("payload", "$.labels[0]").alias("label"), F.get_json_object("payload", "$.props.k").cast("bigint").alias("k"))
+    """A log of several appends of unlike size: every event sets its user, every fifth in a batch with an edge, every eleventh is the user's tombstone."""
+    path = f"{runtime.shared_folder(spark)}/log-{uuid.uuid4()}"
+    e = tables.table(spark, sf_dir, "events")
+    user, clock = F.concat(F.lit("U-"), F.col("user_id").cast("string")), F.struct(F.col("event_id").alias("time"), F.lit("p").alias("peer_id"))
+    node = F.struct(F.struct(user.alias("id"), F.array("event_type").alias("labels"), F.parse_json("props").alias("props"), clock.alias("clock")).alias("Node"))
+    edge = F.struct(F.struct(F.concat(F.lit("E-"), F.col("event_id").cast("string")).alias("id"), user.alias("from"), F.concat(F.lit("T-"), F.col("event_type")).alias("to"), F.col("event_type").alias("rel"), clock.alias("clock")).alias("Edge"))
+    both = F.struct(F.array(F.to_variant_object(node), F.to_variant_object(edge)).alias("Batch"))
+    line = F.when(F.col("event_id") % 11 == 0, F.to_json(F.struct(F.struct(user.alias("id")).alias("Delete")))).when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"event":'), F.to_json(both), F.lit("}"))).otherwise(F.to_json(node))
+    ends, at = [0, *(e.agg((F.max("event_id") * F.lit(x)).cast("bigint")).first()[0] for x in (0.05, 0.1, 0.8)), 1 << 60], "event_id"
+    for a, b in zip(ends, ends[1:]):
+        tables.append_log(e.where((F.col(at) >= a) & (F.col(at) < b)).select(at, line.alias("line")), path, at)
+    r = tables.replay(tables.read_log(spark, path))
+    return r.select("kind", "id", "time", F.coalesce(F.get_json_object("payload", "$.labels[0]"), F.get_json_object("payload", "$.rel")).alias("label"))
 
 
 @query("s2_snapshot", f"{GRAPH} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'edge', rel, count(*) FROM edges GROUP BY rel")
@@ -56,14 +74,13 @@ def edge_scan(spark, sf_dir):
 
 @query("s5_id_lookup", f"WITH {NODES} SELECT id, label, name FROM nodes WHERE id = 'C-42'")
 def id_lookup(spark, sf_dir):
-    return filters.by_id(tables.business_nodes(spark, sf_dir), "C-42").select("id", F.element_at("labels", 1).alias("label"), scalar.json_field(F.col("props"), "name").alias("name"))
+    """One table is read, and the key reaches its scan."""
+    return tables.business_node(spark, sf_dir, "C-42").select("id", F.element_at("labels", 1).alias("label"), scalar.json_field(F.col("props"), "name").alias("name"))
 
 
 @query("s6_adjacency", f"WITH {EDGES} SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id")
 def adjacency(spark, sf_dir):
-    e = tables.business_edges(spark, sf_dir)
-    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-    return ends.groupBy("x.id").agg(F.sum("x.o").alias("n_out"), F.sum("x.i").alias("n_in"))
+    return graph.adjacency(tables.business_edges(spark, sf_dir))
 
 
 LINE = "CAST(event_id AS VARCHAR) || ':' || event_type || ':' || props"
@@ -86,7 +103,7 @@ def block_digests(spark, sf_dir):
 @query("m4_batch_guard", f"WITH {NODES} SELECT label AS batch, NOT bool_or(label = 'Master') AS accepted, count(*) AS n FROM nodes GROUP BY label")
 def batch_guard(spark, sf_dir):
     n = tables.business_nodes(spark, sf_dir).withColumn("batch", F.element_at("labels", 1))
-    return n.groupBy("batch").agg((~F.bool_or(scalar.tier(F.col("labels")) == "MASTER")).alias("accepted"), F.count("*").alias("n"))
+    return filters.batches_accepted(n, "batch")
 
 
 @query("m5_supersede", f"""WITH {NODES}, hit AS (SELECT 'C-' || c_custkey AS id FROM customer WHERE c_acctbal < 0)
@@ -128,9 +145,11 @@ def retract_edges(spark, sf_dir):
     return changes.close(e, e.where("rel = 'SUPPLIED_BY'"), NOW).select("id", "rel", when("valid_to").alias("valid_to"))
 
 
-@query("m11_compact", f"WITH {EDGES} SELECT id, src, dst FROM edges WHERE valid_to IS NULL")
+@query("m11_compact", f"WITH {NODES}, {EDGES} SELECT 'edge' AS kind, id FROM edges WHERE valid_to IS NULL UNION ALL SELECT 'node', id FROM nodes WHERE label <> 'Order' OR TIMESTAMP '1998-01-01' <= valid_from + INTERVAL 900 DAYS")
 def compact(spark, sf_dir):
-    return changes.compact(tables.business_nodes(spark, sf_dir), tables.business_edges(spark, sf_dir), NOW)[1].select("id", "src", "dst")
+    """Orders expire after 900 days."""
+    nodes, edges = changes.compact(expiring(spark, sf_dir), tables.business_edges(spark, sf_dir), NOW)
+    return edges.select(F.lit("edge").alias("kind"), "id").union(nodes.select(F.lit("node"), "id"))
 
 
 @query("m12_vector_compaction", "SELECT vec_id AS node_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -165,9 +184,11 @@ def live(spark, sf_dir):
     return filters.live(history(spark, sf_dir)).select("id", "event_id")
 
 
-@query("f6_orphans", f"WITH {NODES}, {EDGES} SELECT id, label FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+@query("f6_orphans", f"WITH {NODES}, {EDGES}, e AS (SELECT * FROM edges WHERE rel <> 'PLACED_BY' AND id NOT LIKE 'EL-%1') SELECT id, label FROM nodes WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)")
 def orphans(spark, sf_dir):
-    return filters.orphans(tables.business_nodes(spark, sf_dir), tables.business_edges(spark, sf_dir)).select("id", F.element_at("labels", 1).alias("label"))
+    """Once orders don't name their customers, and the first lines are gone, orders of one line are orphans."""
+    e = tables.business_edges(spark, sf_dir).where("rel <> 'PLACED_BY' AND id NOT LIKE 'EL-%1'")
+    return filters.orphans(tables.business_nodes(spark, sf_dir), e).select("id", F.element_at("labels", 1).alias("label"))
 
 
 @query("f7_tiers", f"WITH {NODES} SELECT id, CASE label WHEN 'Master' THEN 'MASTER' WHEN 'Spec' THEN 'SPEC' WHEN 'Adr' THEN 'ADR' ELSE 'USER' END AS tier, label = 'Master' AS forbidden FROM nodes")
@@ -197,9 +218,9 @@ def union_distinct(spark, sf_dir):
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
 
 
-@query("u2_difference", "SELECT 'P-' || p_partkey AS id FROM part EXCEPT SELECT 'P-' || l_partkey FROM lineitem")
+@query("u2_difference", "SELECT 'P-' || p_partkey AS id FROM part EXCEPT SELECT 'P-' || l_partkey FROM lineitem WHERE l_quantity > 45")
 def difference(spark, sf_dir):
-    p, li = tables.table(spark, sf_dir, "part").select("p_partkey"), tables.table(spark, sf_dir, "lineitem").select("l_partkey")
+    p, li = tables.table(spark, sf_dir, "part").select("p_partkey"), tables.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey")
     return p.join(li, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("id"))
 
 
@@ -209,9 +230,13 @@ def intersection(spark, sf_dir):
     return p.join(li, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("id"))
 
 
-@query("p1_prune", f"""WITH {NODES}, {EDGES}, old AS (SELECT id FROM nodes WHERE label = 'Order' AND TIMESTAMP '1998-01-01' > valid_from + INTERVAL 900 DAYS)
-SELECT id FROM old UNION SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)""")
-def prune(spark, sf_dir):
+def expiring(spark, sf_dir):
     n = tables.business_nodes(spark, sf_dir)
-    n = n.withColumn("expires_at", F.when(F.element_at("labels", 1) == "Order", F.expr("valid_from + INTERVAL 900 DAYS")))
-    return changes.to_prune(n, tables.business_edges(spark, sf_dir), NOW)
+    return n.withColumn("expires_at", F.when(F.element_at("labels", 1) == "Order", F.expr("valid_from + INTERVAL 900 DAYS")))
+
+
+@query("p1_prune", f"""WITH {NODES}, {EDGES}, e AS (SELECT * FROM edges WHERE rel <> 'LOCATED_IN'), old AS (SELECT id FROM nodes WHERE label = 'Order' AND TIMESTAMP '1998-01-01' > valid_from + INTERVAL 900 DAYS)
+SELECT id FROM old UNION SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)""")
+def prune(spark, sf_dir):
+    """Without places, customers who never ordered are orphans beside the expired orders."""
+    return changes.to_prune(expiring(spark, sf_dir), filters.relations(tables.business_edges(spark, sf_dir), rels=["PART_OF", "PLACED_BY", "CONTAINS", "SUPPLIED_BY"]), NOW)

@@ -142,14 +142,29 @@ def jaro_winkler(spark, sf_dir):
     return tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(scalar.jaro_winkler("p_name", "p_type"), 6).alias("score"))
 
 
-@query("x4_fuzzy_ids", """WITH q AS (SELECT n_name, 'x' || substr(n_name, 2) || 'o' AS query FROM nation), s AS (SELECT query, s_name AS id, jaro_winkler_similarity(query, s_name) AS score FROM q, (SELECT DISTINCT s_name FROM (SELECT s_name FROM supplier UNION SELECT r_name FROM region UNION SELECT n_name FROM nation)))
+NAMES = "(SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer UNION SELECT r_name FROM region UNION SELECT n_name FROM nation)"
+
+
+@query("x4_fuzzy_ids", f"""WITH n AS {NAMES}, q AS (SELECT 'x' || substr(name, 2) || 'o' AS query FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT s_name FROM supplier WHERE s_suppkey % 100 = 0 UNION SELECT c_name FROM customer WHERE c_custkey % 100 = 0)),
+s AS (SELECT query, name AS id, jaro_winkler_similarity(query, name) AS score FROM q, n)
 SELECT query, arg_min(id, (-score, id)) AS id, round(max(score), 6) AS score FROM s GROUP BY query HAVING max(score) > 0.2""")
 def fuzzy_ids(spark, sf_dir):
-    """Nations misspelt, among the names of suppliers, nations and regions."""
+    """Places, and suppliers and customers whose key 100 divides, misspelt, among the names of all."""
+    t = lambda n, c, where="true": tables.table(spark, sf_dir, n).where(where).select(F.col(c).alias("id"))
+    places = t("region", "r_name").union(t("nation", "n_name"))
+    ids = t("supplier", "s_name").union(t("customer", "c_name")).union(places).distinct()
+    q = places.union(t("supplier", "s_name", "s_suppkey % 100 = 0")).union(t("customer", "c_name", "c_custkey % 100 = 0"))
+    return lexical.resolve(ids, q.select(F.concat(F.lit("x"), F.expr("substring(id, 2)"), F.lit("o")).alias("query"))).withColumn("score", F.round("score", 6))
+
+
+@query("j8_postings", f"""WITH n AS {NAMES}, t AS (SELECT name, lower(name) AS l FROM n), u AS (SELECT name, unnest(string_split(l, '')) AS token FROM t UNION SELECT name, substr(name, i, 2) FROM (SELECT name, unnest(generate_series(1, length(name) - 1)) AS i FROM n)),
+q AS (SELECT DISTINCT n_name AS query, token FROM u JOIN nation ON name = n_name WHERE token <> '')
+SELECT query, name AS id, count(*) AS shared FROM q JOIN u USING (token) GROUP BY 1, 2""")
+def token_candidates(spark, sf_dir):
+    """By the inverted index, the names that share tokens with a nation's."""
     t = lambda n, c: tables.table(spark, sf_dir, n).select(F.col(c).alias("id"))
-    ids = t("supplier", "s_name").union(t("region", "r_name")).union(t("nation", "n_name")).distinct()
-    q = t("nation", "n_name").select(F.concat(F.lit("x"), F.expr("substring(id, 2)"), F.lit("o")).alias("query"))
-    return lexical.resolve(ids, q).withColumn("score", F.round("score", 6))
+    ids = t("supplier", "s_name").union(t("customer", "c_name")).union(t("region", "r_name")).union(t("nation", "n_name")).distinct()
+    return lexical.sharing(ids, t("nation", "n_name"))
 
 
 @query("x7_json_fields", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")

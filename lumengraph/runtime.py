@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a checked side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a checked side of a join is broadcast; beyond it the join shuffles. What operators broadcast has less than 200 bytes a row.
+BROADCAST_ROWS = 250_000
+#: Bytes up to which blocks of rows are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def shared_folder(spark) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A temporary one only where none is set and all tasks run on this machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumengraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumengraph-"))
     return sc.getCheckpointDir()
 
 
@@ -34,13 +39,54 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def in_blocks(df: DataFrame, size: int, most_tasks: int = 10_000) -> DataFrame:
-    """(rows): df's rows, gathered by a hash into blocks of about so many, each an array of structs."""
-    n = max(1, -(-df.count() // size))
-    return df.withColumn("_block", F.pmod(F.xxhash64(*df.columns), F.lit(n))).repartition(min(n, most_tasks), "_block").groupBy("_block").agg(F.collect_list(F.struct(*df.columns)).alias("rows")).select("rows")
+def in_blocks(df: DataFrame, size: int, *by: str, most_tasks: int = 10_000) -> DataFrame:
+    """(by, rows): df's rows, gathered by a hash into blocks of about so many within each value of by, each an array of structs of the other columns."""
+    rest = [c for c in df.columns if c not in by]
+    if by:
+        n = df.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("_blocks"))
+        df = df.join(n, [*by])
+    else:
+        df = df.withColumn("_blocks", F.lit(max(1, -(-df.count() // size))).cast("bigint"))
+    df = df.withColumn("_block", F.pmod(F.xxhash64(*rest), "_blocks"))
+    if not by:
+        df = df.repartition(min(max(1, -(-df.count() // size)), most_tasks), "_block")
+    return df.groupBy(*by, "_block").agg(F.collect_list(F.struct(*rest)).alias("rows")).select(*by, "rows")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, few: int = 16) -> DataFrame:
-    """(left, right): every block of the one beside every block of the other. A few blocks are broadcast; more meet as a Cartesian product of tasks."""
+def block_pairs(left: DataFrame, right: DataFrame, row_bytes: int) -> DataFrame:
+    """(left, right): every block of the one beside every block of the other. Blocks of few bytes are broadcast; more meet as a Cartesian product of tasks."""
     r = right.select(F.col("rows").alias("right"))
-    return left.select(F.col("rows").alias("left")).crossJoin(F.broadcast(r) if at_most(r, few) else r)
+    small = (r.agg(F.coalesce(F.sum(F.size("right")), F.lit(0))).first()[0] * row_bytes) <= BROADCAST_BYTES
+    return left.select(F.col("rows").alias("left")).crossJoin(F.broadcast(r) if small else r)
+
+
+# Folders of numbered parts, on whatever file system the path is
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbered folders under a path that were written to their end, in order."""
+    fs, p = _files(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory() and x.getPath().getName().isdigit()]
+    return sorted(int(n) for n in found if fs.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1]))
+
+
+def numbered(path: str, n: int) -> str:
+    return f"{path}/{n:010d}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Marks a folder as written to its end, as Spark marks those that it writes itself."""
+    fs, p = _files(spark, f"{path}/_SUCCESS")
+    fs.create(p, True).close()

@@ -7,6 +7,7 @@ VECTOR = "node_id string, embedding array<float>, lang string, cluster_id bigint
 SUPER_NODE = "snapshot_id bigint, cluster_id bigint, theme string, member_count bigint, impact double, centroid array<double>, timestamp timestamp, drift double"
 META_EDGE = "from_cluster bigint, to_cluster bigint, weight bigint"
 PEER = "peer_id string, public_key binary"
+PROPOSAL = "proposal_id string, id string"
 VOTE = "proposal_id string, peer_id string, approve boolean, position bigint"
 
 ENGINE_NAME, SCHEMA_VERSION = "lumengraph", 1

@@ -1,5 +1,6 @@
 """Properties, the language, readers and streams."""
 
+import json
 import random
 import re
 
@@ -9,9 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumengraph.functions import scalar, vector
-from lumengraph.operators import clusters, graph, search, sync
-from lumengraph.plans import catalog, hql
+from lumengraph.functions import ed25519, scalar, vector
+from lumengraph.operators import changes, clusters, graph, index, search, sync
+from lumengraph.plans import hql
+from lumengraph.session import Store, nearest_language
 from lumengraph.sources import tables
 from lumengraph.streaming import log
 
@@ -42,13 +44,55 @@ def test_depth_is_the_shortest_path(spark):
         assert len(path) == depth and path[0].startswith(f"{s}-") and path[-1].endswith(f"-{t}")
 
 
-def test_causes_to_the_first(spark, sf):
-    chains = {}
-    for r in sorted(tables.table(spark, sf, "orders").collect(), key=lambda r: (r.o_orderdate, r.o_orderkey)):
-        chains.setdefault(r.o_custkey, []).append(str(r.o_orderkey))
-    want = {(c[i], c[j], i - j) for c in chains.values() for i in range(len(c)) for j in range(i)}
-    assert max(d for _, _, d in want) > 4
-    assert {tuple(r) for r in catalog.queries()["t14_causes_whole"](spark, sf).collect()} == want
+def test_causes_to_the_first(spark):
+    """Chains, a fork, a ring and a missing cause: by doubling as by steps."""
+    links = {"b": "a", "c": "b", "d": "c", "e": "d", "f": "e", "x": "c", "r1": "r2", "r2": "r3", "r3": "r1", "m": "gone", "s": "s"}
+    n = spark.createDataFrame([*links.items(), ("a", None)], "id string, caused_by string")
+    want = {}
+    for i in links:
+        at, depth, path = links[i], 1, [i]
+        while at in {*links, "a"} and at != i and (i, at) not in want:
+            want[i, at] = depth, path
+            at, depth, path = links.get(at), depth + 1, [*path, at]
+    read = lambda d: {(r.seed, r.id): (r.depth, r.path) for r in d.collect()}
+    assert read(graph.causes(n)) == want == read(graph.causes(n, n.select("id")))
+    assert read(graph.causes(n, depth=3)) == {k: v for k, v in want.items() if v[0] <= 3}
+
+
+def test_versions_at_times(spark):
+    h = spark.createDataFrame([("a", 1, 3, "x"), ("a", 3, 3, "none"), ("a", 3, None, "y"), ("b", 5, 7, "z"), (None, 1, None, "?")], "id string, f int, u int, v string").selectExpr("id", "timestamp_seconds(f) AS valid_from", "timestamp_seconds(u) AS valid_to", "v")
+    t = spark.createDataFrame([(i, s) for i in ("a", "b", "c") for s in range(9)] + [("a", None), (None, 1)], "id string, s int").selectExpr("id", "s", "timestamp_seconds(s) AS t")
+    want = {("a", s, "x") for s in (1, 2)} | {("a", s, "y") for s in range(3, 9)} | {("b", s, "z") for s in (5, 6)}
+    assert {(r.id, r.s, r.v) for r in changes.at_times(h, t).collect()} == want
+
+
+def test_signatures_like_the_standard():
+    """The first three vectors of RFC 8032, 7.1."""
+    cases = [
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+        ("c5aa8df43f9f837bedb7442f31dcb7b166d38535076f094b85ce3a2e0b4458f7", "fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", "af82", "6291d657deec24024827e69c3abe01a30ce548a284743a445e3680d7db5ac3ac18ff9b538d16f290ae67f760984dc6594a7c15e9716ed28dc027beceea1ec40a"),
+    ]
+    for seed, key, message, signature in (map(bytes.fromhex, c) for c in cases):
+        assert ed25519.public_key(seed) == key and ed25519.sign(seed, message) == signature and ed25519.verify(key, message, signature)
+        assert not ed25519.verify(key, message + b"x", signature) and not ed25519.verify(key, message, signature[:-1] + b"\x7f") and not ed25519.verify(key[::-1], message, signature)
+
+
+def test_recall_of_the_index(spark, sf):
+    """On vectors that fill the space evenly, where cells help least."""
+    v = tables.vectors(spark, sf).select("node_id", "embedding")
+    q = v.where("node_id % 5 = 0").withColumnRenamed("node_id", "query_id")
+    got = {(r.query_id, r.node_id) for r in index.nearest(index.build(v, cell_rows=60), q, 6).collect()}
+    want = {(r.query_id, r.node_id) for r in search.nearest_many(v, q, 6).collect()}
+    assert len(got & want) >= 0.95 * len(want)
+    assert index.nearest(index.build(v.limit(0)), q.limit(0), 3).count() == 0
+
+
+def test_proximity_and_language_distances(spark):
+    c = spark.createDataFrame([("th", [0.0, 3.0]), ("en", [1.0, 0.0])], "lang string, centroid array<double>")
+    assert [(r.lang, r.dist) for r in nearest_language(c, [0.0, 0.0]).collect()] == [("en", 1.0), ("th", 3.0)]
+    v = spark.createDataFrame([("a", [3.0, 4.0])], "node_id string, embedding array<double>")
+    assert [search.nearest(v, [0.0, 0.0], 1, squared).first().dist for squared in (False, True)] == [5.0, 25.0]
 
 
 def test_merge_is_order_free_and_idempotent(spark):
@@ -99,6 +143,12 @@ def test_language_refuses(text):
         hql.parse(text)
 
 
+def test_lenient_numbers():
+    assert hql.parse("TRAVERSE FROM a DEPTH 1 2 REL r", lenient=True).depth == 1
+    assert hql.parse("SEARCH x SIMILAR TO [1] K 9 9", lenient=True).k == 5 and hql.parse("SEARCH x SIMILAR TO [1] K 99", lenient=True).k == 99
+    assert hql.parse("CONTEXT FOR a TIER H1 BUDGET 99999999999", lenient=True).budget == 32000
+
+
 def test_social_csv_and_notes(spark, tmp_path):
     (tmp_path / "person.csv").write_text("id,name,gender\n1,Ann,f\n2,Bo,m\n")
     (tmp_path / "post.csv").write_text("id,content\n9,hello\n")
@@ -110,16 +160,45 @@ def test_social_csv_and_notes(spark, tmp_path):
 
 
 def test_stream_keeps_the_last_writer(spark, tmp_path):
+    """Over many small batches: late events lose, the base is written anew now and then, and what no state holds goes."""
     (tmp_path / "log").mkdir()
-    line = lambda t, v: f'{{"Node":{{"id":"x","props":{{"v":{v}}},"clock":{{"time":{t},"peer_id":"p"}}}}}}\n'
-    (tmp_path / "log/1").write_text(line(5, "1"))
-    args = str(tmp_path / "state"), str(tmp_path / "check")
-    log.to_table(log.read(spark, str(tmp_path / "log")), *args).awaitTermination()
-    (tmp_path / "log/2").write_text(line(3, "2"))  # late: an older clock
-    q = log.to_table(log.read(spark, str(tmp_path / "log")), *args)
+    line = lambda i, t, v: f'{{"Node":{{"id":"{i}","props":{{"v":{v}}},"clock":{{"time":{t},"peer_id":"p"}}}}}}\n'
+    args, want = (str(tmp_path / "state"), str(tmp_path / "check")), {}
+    for n, t in enumerate((5, 3, 6, 6, 2, 9)):
+        (tmp_path / f"log/{n}").write_text(line("x", t, n) + line(f"y{n}", 1, n) + "nonsense\n")
+        log.to_table(log.read(spark, str(tmp_path / "log")), *args).awaitTermination()
+        want |= {f"y{n}": n} | ({"x": n} if n in (0, 2, 3, 5) else {})  # of equal clocks the later counts
+        got = {r.id: int(json.loads(r.payload)["props"]["v"]) for r in log.state(spark, args[0]).collect()}
+        assert got == want
+    log.apply_batch(args[0])(spark.createDataFrame([(0, line("x", 9, 5).strip())], "position bigint, line string"), 5)  # a batch again
+    assert {r.id: int(json.loads(r.payload)["props"]["v"]) for r in log.state(spark, args[0]).collect()}["x"] == 5
+    kept = [p for f in ("base", "delta") for p in (tmp_path / "state" / f).iterdir()]
+    assert len(kept) < 6 and len(list((tmp_path / "state/manifest").iterdir())) == 2
+
+
+def test_state_that_expires(spark, tmp_path):
+    """An id that stays silent for its lifetime leaves the state, with its last payload."""
+    e = [("a", "2026-01-01 00:00:00", "1"), ("b", "2026-01-01 00:00:05", "2"), ("a", "2026-01-01 00:00:08", "3")]
+    later = [("c", "2026-01-01 00:00:16", "4")]
+    for n, rows in enumerate((e, later, [("d", "2026-01-01 00:00:17", "5")])):
+        spark.createDataFrame(rows, "id string, at string, payload string").selectExpr("id", "CAST(at AS timestamp) AS at", "payload").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema("id string, at timestamp, payload string").parquet(str(tmp_path / "in"))
+        q = log.expiring(s, 10).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+        assert q.exception() is None
+    assert [(r.id, r.payload, str(r.expired_at)) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("b", "2", "2026-01-01 00:00:15")]
+    now = spark.createDataFrame([("x", "2026-01-01 00:00:00"), ("y", None)], "id string, e string").selectExpr("id", "CAST(e AS timestamp) AS expires_at")
+    assert [r.id for r in log.ephemeral(now, "2026-01-02T00:00:00Z").collect()] == ["y"]
+
+
+def test_maintenance_by_the_clock(spark, tmp_path):
+    s = Store.empty(spark)
+    s.add_nodes([{"id": "alone"}, {"id": "axiom", "labels": ["MASTER"]}], system=True)
+    (tmp_path / "ticks").mkdir()
+    (tmp_path / "ticks/1").write_text("tick\n")
+    q = log.maintain(s, str(tmp_path / "snap"), ticks=spark.readStream.text(str(tmp_path / "ticks")))
     q.awaitTermination()
-    state = spark.read.parquet(f"{args[0]}/v{q.lastProgress['batchId'] + 1}").collect()
-    assert [(r.id, r.clock.time) for r in state] == [("x", 5)]
+    assert q.exception() is None and [r.id for r in Store.load(spark, str(tmp_path / "snap")).nodes.collect()] == ["axiom"]
 
 
 def test_streaming_aggregate(spark, tmp_path):

@@ -28,11 +28,13 @@ def test_same_rows_as_sql(spark, duck, sf, name):
     names = [d[0] for d in got.description]
     assert sorted(names) == cols
     want = [tuple(r[names.index(c)] for c in cols) for r in got.fetchall()]
+    assert want
     assert ordered(map(tuple, df.select(*cols).collect())) == ordered(want)
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracles())
+    """But the approximate search, which the tests hold against brute force."""
+    assert set(catalog.queries()) - set(catalog.oracles()) == {"v8_indexed_search"}
 
 
 def test_entry(spark):
