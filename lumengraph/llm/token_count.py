@@ -124,8 +124,9 @@ class Counter:
         """Tokens and pre-tokens by text."""
         known, insert, out = self.known, self.trie.insert, []
         for t in texts:
-            if len(known) > MAX_WORDS or len(self.trie.score) > MAX_NODES:
+            if len(known) > MAX_WORDS:
                 known.clear()
+            if len(self.trie.score) > MAX_NODES:
                 self.trie.clear()
             found = t.split() if t else []
             got = [*map(known.get, found)]
