@@ -60,14 +60,18 @@ def events(lines: DataFrame) -> DataFrame:
     none = F.array().cast("array<variant>")
     inner = F.coalesce(part(F.col("v"), "$.event"), F.col("v"))
     v = v.select("position", inner.alias("e"), get(F.col("v"), "$.signer_peer_id").alias("signer"), get(F.col("v"), "$.signature").alias("signature"))
+    single = part(F.col("e"), "$.Batch").isNull()
     items = F.array("e")
     for _ in range(NEST):
         items = F.flatten(F.transform(items, lambda x: F.coalesce(listed(x, "$.Batch"), F.array(x))))
+    # Most events are no batch.
+    items = F.when(single, F.array("e")).otherwise(items)
     tag = lambda kind, p: F.struct(F.lit(kind).alias("kind"), p.alias("p"))
     of = lambda x: F.array(*(tag(k, part(x, f"$.{k}")) for k in ("Node", "Edge", "Delete")))
     plain = F.filter(F.flatten(F.transform(items, of)), lambda x: x["p"].isNotNull())
     several = lambda x, name, kind: F.transform(F.coalesce(listed(x, f"$.Batch.{name}"), none), lambda y: tag(kind, y))
-    grouped = F.flatten(F.transform(items, lambda x: F.concat(several(x, "nodes", "Node"), several(x, "edges", "Edge"))))
+    grouped = F.when(~single, F.flatten(F.transform(items, lambda x: F.concat(several(x, "nodes", "Node"), several(x, "edges", "Edge")))))
+    grouped = F.coalesce(grouped, F.filter(plain, lambda x: F.lit(False)))
     out = v.select("position", "signer", "signature", F.posexplode(F.concat(plain, grouped)).alias("sub", "x"))
     p = F.col("x.p")
     return out.select(
@@ -83,7 +87,8 @@ def replay(lines: DataFrame) -> DataFrame:
     replaced the others. A tombstone ends all that stands before it: a node's also the edges that touch the node.
     """
     field = lambda name: F.get_json_object("payload", f"$.{name}")
-    e = events(lines).withColumn("at", F.struct("position", "sub")).select("kind", "id", field("valid_from").alias("since"), "at", "payload", "time", "peer_id")
+    # The lines are parsed once.
+    e = runtime.checkpointed(events(lines).withColumn("at", F.struct("position", "sub")).select("kind", "id", field("valid_from").alias("since"), "at", "payload", "time", "peer_id"))
     rows = e.where("kind <> 'Delete'").groupBy("kind", "id", "since").agg(F.max(F.struct("at", "payload", "time", "peer_id")).alias("m")).select("kind", "id", "since", "m.*")
     open_ = field("valid_to").isNull()
     last = rows.where(open_).groupBy("kind", "id").agg(F.max("at").alias("last"))
