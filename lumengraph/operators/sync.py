@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ed25519
+from . import graph
 
 
 def latest(rows: DataFrame, key: str = "id", clock: str = "clock") -> DataFrame:
@@ -105,10 +106,9 @@ def digests(lines: DataFrame, block: int = 10_000) -> DataFrame:
     return b.groupBy("block").agg(F.sha2(whole, 256).alias("digest"))
 
 
-def cyclic_supersedes(closure: DataFrame) -> DataFrame:
-    """Pairs that supersede each other, from the closure (seed, id) of supersedes edges."""
-    back = closure.select(F.col("seed").alias("id"), F.col("id").alias("seed"))
-    return closure.select("seed", "id").join(back, ["seed", "id"], "left_semi")
+def cyclic_supersedes(links: DataFrame) -> DataFrame:
+    """(seed, id): pairs that supersede each other, over links (src, dst) of supersedes edges."""
+    return graph.pairs_within(graph.classes(links))
 
 
 def contradictory_implications(edges: DataFrame) -> DataFrame:

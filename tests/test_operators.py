@@ -218,3 +218,24 @@ def test_rest_works_without_the_training_folder():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert not re.search(r"\bllm\b", f.read_text())
+
+
+def test_classes_of_rings_tails_and_several_ways(spark):
+    """Long rings, a tail that leads into one, a chain that ends, a loop; then a graph whose nodes have several ways."""
+    rings = [(f"{k}{i:03d}", f"{k}{(i + 1) % n:03d}") for k, n in (("a", 64), ("b", 37), ("c", 2)) for i in range(n)]
+    rest = [(f"t{i:03d}", f"t{i + 1:03d}") for i in range(50)] + [("t050", "a010"), ("z1", "z2"), ("z2", "z3"), ("l", "l")]
+    schema = "src string, dst string"
+    got = {(r.id, r["class"]) for r in graph.classes(spark.createDataFrame(rings + rest, schema)).collect()}
+    assert got == {(s, f"{s[0]}000") for s, _ in rings}
+    pairs = sorted(map(tuple, sync.cyclic_supersedes(spark.createDataFrame(rings + rest, schema)).collect()))
+    assert pairs == sorted((a, b) for a, _ in rings for b, _ in rings if a[0] == b[0] and a != b)
+    assert sorted(map(tuple, graph.pairs_within(graph.classes(spark.createDataFrame(rings, schema)), 5).collect())) == pairs
+    r = random.Random(5)
+    links = {(str(r.randrange(40)), str(r.randrange(40))) for _ in range(55)}
+    reached = {a: {b for x, b in links if x == a} for a in map(str, range(40))}
+    for m in reached:
+        for a in reached:
+            reached[a] |= reached[m] if m in reached[a] else set()
+    got = {r.id: r["class"] for r in graph.classes(spark.createDataFrame(sorted(links), schema)).collect()}
+    want = {a: min([a, *(b for b in reached[a] if a in reached[b])]) for a in reached if any(a in reached[b] for b in reached[a] - {a})}
+    assert got == want and want
