@@ -239,3 +239,31 @@ def test_classes_of_rings_tails_and_several_ways(spark):
     got = {r.id: r["class"] for r in graph.classes(spark.createDataFrame(sorted(links), schema)).collect()}
     want = {a: min([a, *(b for b in reached[a] if a in reached[b])]) for a in reached if any(a in reached[b] for b in reached[a] - {a})}
     assert got == want and want
+
+
+def test_closure_by_class_like_the_closure(spark):
+    """Members and links between classes give the same pairs as a traversal: with rings, ways between them, ends that are no nodes, and nodes alone."""
+    r = random.Random(6)
+    none = F.lit(None).cast("timestamp")
+    ways = [(f"a{i}", f"a{(i + 1) % 9}") for i in range(9)] + [(f"b{i}", f"b{i + 1}") for i in range(5)]
+    several = sorted({(f"n{r.randrange(25)}", f"n{r.randrange(25)}") for _ in range(32)}) + [("n1", "gone"), ("gone", "n2")]
+    for links in (ways + [("b5", "a3"), ("x", "b2"), ("l", "l")], several):
+        e = spark.createDataFrame([(f"{a}-{b}", a, b, "r") for a, b in links], "id string, src string, dst string, rel string").withColumn("valid_to", none)
+        n = spark.createDataFrame(sorted({(x,) for p in links for x in p if x != "gone"} | {("alone",)}), "id string").withColumn("valid_to", none)
+        members, pairs = graph.closure_by_class(n, e)
+        of = {x.id: x["class"] for x in members.collect()}
+        between = {(p.seed, p.id) for p in pairs.collect()}
+        got = {(a, b) for a in of for b in of if a != b and (of[a] == of[b] or (of[a], of[b]) in between)}
+        want = {(x.seed, x.id) for x in graph.closure(n, e, list(of), paths=False).collect() if x.seed != x.id}
+        assert {p for p in got if "gone" not in p} == {p for p in want if "gone" not in p}
+        assert {x.id: x.links for x in graph.inferred(n, e, {"v": "r"}, "v").collect() if x.id != "gone"} == {a: sum(p[0] == a for p in want) for a in of if a != "gone"}
+
+
+def test_rings_of_whole_nations(spark, sf):
+    """A ring holds all customers of its nation."""
+    from lumengraph.plans import catalog
+
+    rows = catalog.queries()["t3_cyclic_closure"](spark, sf).collect()
+    nations = dict(spark.read.parquet(f"{sf}/customer.parquet").selectExpr("CAST(c_custkey AS STRING) AS k", "c_nationkey AS n").collect())
+    assert {r.id: r.links for r in rows} == {k: sum(v == n for v in nations.values()) - 1 for k, n in nations.items()}
+    assert len({r["class"] for r in rows}) == len(set(nations.values()))
