@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumengraph.functions import ed25519, scalar, vector
-from lumengraph.operators import changes, clusters, graph, index, search, sync
+from lumengraph.operators import changes, clusters, graph, index, lexical, search, sync
 from lumengraph.plans import hql
 from lumengraph.session import Store, nearest_language
 from lumengraph.sources import tables
@@ -267,3 +267,30 @@ def test_rings_of_whole_nations(spark, sf):
     nations = dict(spark.read.parquet(f"{sf}/customer.parquet").selectExpr("CAST(c_custkey AS STRING) AS k", "c_nationkey AS n").collect())
     assert {r.id: r.links for r in rows} == {k: sum(v == n for v in nations.values()) - 1 for k, n in nations.items()}
     assert len({r["class"] for r in rows}) == len(set(nations.values()))
+
+
+def test_resolution_by_bounds_like_brute_force(spark):
+    """Over several blocks and groups, with ties, exact ids, empty texts and letters beyond the first plane; few names are compared."""
+    r = random.Random(7)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(r.randrange(n)))
+    ids = sorted({word("abcA\U0001f600บ้", 9) for _ in range(300)} | {f"Customer#{i:05d}" for i in range(300)})
+    queries = sorted({word("abcA\U0001f600บ้x", 9) for _ in range(60)} | {f"xustomer#{i:05d}o" for i in range(0, 300, 7)} | {"Customer#00007", "zzz"})
+    want = {}
+    for q in queries:
+        score = scalar.jaro_winkler_many(q, ids)
+        if q in ids:
+            want[q] = (q, 1.0)
+        elif score.max() > 0.2:
+            want[q] = (min(ids[i] for i in range(len(ids)) if score[i] == score.max()), pytest.approx(score.max()))
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in [*rows, None]], f"{name} string")
+    got = {x.query: (x.id, x.score) for x in lexical.resolve(frame(ids, "id"), frame(queries, "query"), block=64).collect()}
+    assert got == want
+
+    key = lambda t: ("".join(sorted(t)), t[:4])
+    names = [i for i in ids if i.startswith("C")]
+    groups = sorted({key(t) for t in names})
+    asked = [q for q in queries if q.startswith("xu")]
+    for q, row in zip(asked, lexical.bounds(asked, groups)):
+        score = dict(zip(names, scalar.jaro_winkler_many(q, names)))
+        assert all(score[t] <= row[groups.index(key(t))] + 1e-9 for t in names)
+        assert sum(row[groups.index(key(t))] >= max(score.values()) - 1e-9 for t in names) < len(names) / 10
