@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.scalar import jaro_winkler_many
-from ..runtime import block_pairs, checkpointed, in_blocks
+from ..runtime import at_most, block_pairs, checkpointed, in_blocks
 
 THRESHOLD = 0.20
 #: Rows of a block of ids or of queries.
 BLOCK = 2048
+#: Queries up to which each id is held against all of them.
+FEW_QUERIES = 1000
 
 
 def postings(ids: DataFrame) -> DataFrame:
@@ -24,10 +26,13 @@ def postings(ids: DataFrame) -> DataFrame:
 
 
 def sharing(ids: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id, shared): by the index, the ids that share tokens with a query, and how many. Single characters are tokens too, so this suits few queries or rare tokens; resolve() compares blocks by bounds."""
-    q = queries.select(F.col(queries.columns[0]).alias("query"))
-    asked = q.distinct().select("query", F.explode(scalar.tokens(F.col("query"))).alias("token"))
-    return asked.join(postings(ids), "token").groupBy("query", "id").agg(F.count("*").alias("shared"))
+    """(query, id, shared): the ids that share tokens with a query, and how many. Single characters are tokens too, so this suits few queries, which then go to the ids, or rare tokens, which meet by the index; resolve() compares blocks by bounds."""
+    asked = queries.select(F.col(queries.columns[0]).alias("query")).where("query IS NOT NULL").distinct()
+    if at_most(asked, FEW_QUERIES):
+        own = ids.select("id").where("id IS NOT NULL").distinct().withColumn("tokens", scalar.tokens(F.col("id")))
+        met = own.crossJoin(F.broadcast(asked.withColumn("wanted", scalar.tokens(F.col("query")))))
+        return met.select("query", "id", F.size(F.array_intersect("wanted", "tokens")).cast("bigint").alias("shared")).where("shared > 0")
+    return asked.select("query", F.explode(scalar.tokens(F.col("query"))).alias("token")).join(postings(ids), "token").groupBy("query", "id").agg(F.count("*").alias("shared"))
 
 
 def interned(nodes: DataFrame, edges: DataFrame) -> DataFrame:

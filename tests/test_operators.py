@@ -1,10 +1,13 @@
 """Properties, the language, readers and streams."""
 
+import collections
+import hashlib
 import json
 import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -294,3 +297,14 @@ def test_resolution_by_bounds_like_brute_force(spark):
         score = dict(zip(names, scalar.jaro_winkler_many(q, names)))
         assert all(score[t] <= row[groups.index(key(t))] + 1e-9 for t in names)
         assert sum(row[groups.index(key(t))] >= max(score.values()) - 1e-9 for t in names) < len(names) / 10
+
+
+def test_postings_of_few_queries_like_the_index(spark, monkeypatch):
+    """Each id is held against all queries, without exploding tokens; the index gives the same."""
+    ids = spark.createDataFrame([("abab",), ("Ba",), ("xyz",), ("บ้าน",), ("",), (None,), ("Ba",)], "id string")
+    q = spark.createDataFrame([("ab",), ("aab",), ("บาน",), (None,), ("ab",)], "query string")
+    few = lexical.sharing(ids, q)
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexical, "FEW_QUERIES", 0)
+    got = sorted(map(tuple, few.collect()))
+    assert got == sorted(map(tuple, lexical.sharing(ids, q).collect())) and ("ab", "abab", 3) in got
