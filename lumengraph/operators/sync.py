@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ed25519
+from ..runtime import checkpointed
 from . import graph
 
 
@@ -83,19 +84,30 @@ def promote(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
     return nodes.join(hit, "id", "left").withColumn("labels", F.when(F.col("_yes"), F.array_union(F.coalesce("labels", F.array().cast("array<string>")), F.array(F.lit("MASTER")))).otherwise(F.col("labels"))).select(*nodes.columns)
 
 
+def ordered(position):
+    """A position for comparing: a number, or the values of a struct, nulls first."""
+    return [(x is not None, x) for x in (position.values() if isinstance(position, dict) else [position])]
+
+
 def digest(lines: DataFrame) -> DataFrame:
-    """(digest): SHA-256 of all lines (position, line) in order without separators; 64 zeros for none. The sorted lines stream through one task, which holds one batch of them; digests() runs in parallel."""
+    """(digest): SHA-256 of all lines (position, line) in order without separators; 64 zeros for none. They are sorted in ranges by all tasks; then one task reads range after range, and holds a batch of lines. digests() hashes in parallel too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = hashlib.sha256(), 0
+        h, n, last = hashlib.sha256(), 0, None
         for b in batches:
-            for x in b.column(0):
+            if not b.num_rows:
+                continue
+            first, end = (b.column(0)[i].as_py() for i in (0, b.num_rows - 1))
+            if last is not None and ordered(first) < ordered(last):
+                raise RuntimeError("ranges of lines out of order")
+            last, n = end, n + b.num_rows
+            for x in b.column(1):
                 h.update((x.as_py() or "").encode())
-                n += 1
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["digest"])
 
-    one = lines.repartition(1).sortWithinPartitions("position").select("line").mapInArrow(run, "digest string")
+    # Sorted in the stage before: the task that hashes has nothing to sort.
+    one = checkpointed(lines.select("position", "line").orderBy("position")).coalesce(1).mapInArrow(run, "digest string")
     return one.agg(F.coalesce(F.max("digest"), F.lit("0" * 64)).alias("digest"))
 
 

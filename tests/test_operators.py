@@ -308,3 +308,13 @@ def test_postings_of_few_queries_like_the_index(spark, monkeypatch):
     monkeypatch.setattr(lexical, "FEW_QUERIES", 0)
     got = sorted(map(tuple, few.collect()))
     assert got == sorted(map(tuple, lexical.sharing(ids, q).collect())) and ("ab", "abab", 3) in got
+
+
+def test_digest_sorts_no_lines_in_the_task_that_hashes(spark):
+    lines = spark.range(5000).selectExpr("(id * 7919) % 5000 AS position", "concat('l', (id * 7919) % 5000) AS line").repartition(7)
+    d = sync.digest(lines)
+    assert "Sort " not in d._jdf.queryExecution().executedPlan().toString()
+    assert d.first().digest == hashlib.sha256("".join(f"l{i}" for i in range(5000)).encode()).hexdigest()
+    s = lines.selectExpr("struct(concat('f', position % 3) AS file, position) AS position", "line")
+    assert sync.digest(s).first().digest == hashlib.sha256("".join(f"l{i}" for k in range(3) for i in range(k, 5000, 3)).encode()).hexdigest()
+    assert sync.digest(lines.limit(0)).first().digest == "0" * 64
