@@ -318,3 +318,23 @@ def test_digest_sorts_no_lines_in_the_task_that_hashes(spark):
     s = lines.selectExpr("struct(concat('f', position % 3) AS file, position) AS position", "line")
     assert sync.digest(s).first().digest == hashlib.sha256("".join(f"l{i}" for k in range(3) for i in range(k, 5000, 3)).encode()).hexdigest()
     assert sync.digest(lines.limit(0)).first().digest == "0" * 64
+
+
+def test_cooccurrence_by_numbers(spark, monkeypatch):
+    """Against plain counting, in several pieces a batch: no pair across texts, none of a word with itself, order by bytes, empty and missing texts."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["ab", "B", "é", "\U0001f600x9", "zz", "Ａ", "-", "x"]) for _ in range(r.randrange(30))) for _ in range(40)] + ["", "--", "one", None]
+    want = collections.Counter()
+    for t in texts:
+        w = [x for x in re.split(r"[^\w]+", (t or "").lower()) if x]
+        want.update((min(p, key=str.encode), max(p, key=str.encode)) for i, x in enumerate(w) for y in w[i + 1 : i + 4] if x != y for p in [(x, y)])
+    monkeypatch.setattr(graph, "WORDS", 50)
+    out = [b for b in graph.near_words(3)(iter([pa.RecordBatch.from_arrays([pa.array([[x for x in re.split(r"[^\w]+", t.lower())] if t is not None else None for t in texts])], names=["w"])]))]
+    got = collections.Counter()
+    for b in out:
+        for x in b.to_pylist():
+            got[x["a"], x["b"]] += x["n"]
+    assert got == want and len(out) > 5
+    near = graph.cooccurrence(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))[1]
+    assert {(x.a, x.b): x.n for x in near.collect()} == want
+    assert "transform(" not in near._jdf.queryExecution().executedPlan().toString()
