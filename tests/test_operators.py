@@ -338,3 +338,17 @@ def test_cooccurrence_by_numbers(spark, monkeypatch):
     near = graph.cooccurrence(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))[1]
     assert {(x.a, x.b): x.n for x in near.collect()} == want
     assert "transform(" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_causes_of_chains_are_written_out_of_one_row(spark, monkeypatch):
+    """Chains alone need no join of pairs; with a limit of depth too. Of several causes of a node none is lost."""
+    nodes = [(f"{k}{i:02d}", f"{k}{i - 1:02d}" if i else None) for k, n in (("a", 21), ("b", 1), ("c", 2), ("d", 8)) for i in range(n)]
+    n = spark.createDataFrame(nodes, "id string, caused_by string")
+    want = {(f"{k}{i:02d}", f"{k}{j:02d}"): (i - j, [f"{k}{x:02d}" for x in range(i, j, -1)]) for k, m in (("a", 21), ("c", 2), ("d", 8)) for i in range(m) for j in range(i)}
+    read = lambda d: {(r.seed, r.id): (r.depth, r.path) for r in d.collect()}
+    with monkeypatch.context() as m:
+        m.setattr(graph, "all_reached", None)
+        assert read(graph.causes(n)) == want
+        assert read(graph.causes(n, depth=3)) == {k: v for k, v in want.items() if v[0] <= 3}
+    two = spark.createDataFrame([*nodes, ("c01", "d01")], "id string, caused_by string")
+    assert {k for k in read(graph.causes(two)) if k[0] == "c01"} == {("c01", "c00"), ("c01", "d01"), ("c01", "d00")}
