@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..runtime import spread
 from . import graph
 
 
 def impacts(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, mode: str = "formula") -> DataFrame:
     """(id, in_degree, impact). ids: only those, by a semi-join before the aggregate. mode 'lazy': 0.7 until an edge arrives."""
     if ids is not None:
-        nodes, edges = nodes.join(ids, "id", "left_semi"), edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+        nodes, edges = nodes.join(ids, "id", "left_semi"), spread(edges.select("dst", "id"), "dst").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
     joined = nodes.select("id", "labels", "props").join(graph.degrees(edges), "id", "left")
     value = scalar.impact(F.col("in_degree"), F.col("labels"), F.col("props"))
     if mode == "lazy":

@@ -13,8 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lumengraph import runtime
 from lumengraph.functions import ed25519, scalar, vector
-from lumengraph.operators import changes, clusters, graph, index, lexical, search, sync
+from lumengraph.operators import changes, clusters, graph, importance, index, lexical, search, sync
 from lumengraph.plans import hql
 from lumengraph.session import Store, nearest_language
 from lumengraph.sources import tables
@@ -352,3 +353,14 @@ def test_causes_of_chains_are_written_out_of_one_row(spark, monkeypatch):
         assert read(graph.causes(n, depth=3)) == {k: v for k, v in want.items() if v[0] <= 3}
     two = spark.createDataFrame([*nodes, ("c01", "d01")], "id string, caused_by string")
     assert {k for k in read(graph.causes(two)) if k[0] == "c01"} == {("c01", "c00"), ("c01", "d01"), ("c01", "d00")}
+
+
+def test_refreshing_some_spreads_edges_by_their_number(spark, monkeypatch):
+    """The tasks that meet edges grow in number with them."""
+    monkeypatch.setattr(runtime, "TASK_ROWS", 50)
+    n = spark.createDataFrame([(f"n{i}", ["SPEC"], "{}", 0.7) for i in range(20)], "id string, labels array<string>, props string, impact double")
+    e = spark.createDataFrame([(f"e{i // 2}", f"n{i // 2 % 20}") for i in range(1000)], "id string, dst string")
+    out = importance.refreshed(n, e, n.where("id < 'n15'").select("id"))
+    assert "hashpartitioning(dst" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+    whole = {r.id: r.impact for r in importance.refreshed(n, e).collect()}
+    assert {r.id: r.impact for r in out.collect()} == {i: x if i < "n15" else 0.7 for i, x in whole.items()}
