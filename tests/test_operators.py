@@ -364,3 +364,18 @@ def test_refreshing_some_spreads_edges_by_their_number(spark, monkeypatch):
     assert "hashpartitioning(dst" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
     whole = {r.id: r.impact for r in importance.refreshed(n, e).collect()}
     assert {r.id: r.impact for r in out.collect()} == {i: x if i < "n15" else 0.7 for i, x in whole.items()}
+
+
+def test_large_frontiers_meet_edges_in_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "TASK_ROWS", 40)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 3)
+    asked = []
+    monkeypatch.setattr(graph, "spread", lambda df, *by: asked.append(runtime.spread(df, *by)) or asked[-1])
+    e = spark.createDataFrame([(f"e{i:03d}", f"n{i % 30}", f"n{i * 7 % 30}", "r", None) for i in range(200)], "id string, src string, dst string, rel string, valid_to timestamp")
+    got = {(x.seed, x.id): x.path for x in graph.neighbors(None, e, [f"n{i}" for i in range(30)], 1, direction="both").collect()}
+    want = {}
+    for x in e.collect():
+        for a, b in ((x.src, x.dst), (x.dst, x.src)):
+            if a != b:
+                want[a, b] = min(want.get((a, b), [x.id]), [x.id])
+    assert got == want and [d.rdd.getNumPartitions() for d in asked] == [10]
