@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vector
+from ..runtime import BROADCAST_ROWS
+from . import packed
+
+#: Members of a part that edges are packed for.
+PART_MEMBERS = 200_000
 
 
 def centroids(vectors: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -30,12 +38,39 @@ def themes(members: DataFrame) -> DataFrame:
 
 
 def meta_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(from_cluster, to_cluster, weight): edges that cross clusters, by ordered pair."""
+    """(from_cluster, to_cluster, weight): edges that cross clusters, by ordered pair.
+
+    Few members go to the edges. Else the edges go to the members of one end and then of the other, packed and counted on the way.
+    """
     c = members.select("id", "cluster_id")
+    n = c.count()
+    if n > BROADCAST_ROWS:
+        return packed_meta_edges(edges, c, -(-n // PART_MEMBERS))
+    c = F.broadcast(c)
     e = edges.join(c.select(F.col("id").alias("src"), F.col("cluster_id").alias("from_cluster")), "src").join(c.select(F.col("id").alias("dst"), F.col("cluster_id").alias("to_cluster")), "dst")
     return e.where("from_cluster <> to_cluster").groupBy("from_cluster", "to_cluster").agg(F.count("*").alias("weight"))
 
 
+def packed_meta_edges(edges: DataFrame, members: DataFrame, parts: int) -> DataFrame:
+    """meta_edges() by so many parts of the members (id, cluster_id). The edges of a part are opened some at a time."""
+    kind = members.schema["cluster_id"].dataType
+    counted = pa.schema([("from_cluster", to_arrow_type(kind)), ("to_cluster", to_arrow_type(kind)), ("n", pa.int64())])
+
+    def first(e: pa.Table) -> pa.Table:
+        e = e.rename_columns({"cluster_id": "from_cluster"}).group_by(["from_cluster", "dst"], use_threads=False).aggregate([([], "count_all")])
+        return packed.pack(e.rename_columns({"count_all": "n"}), "dst", parts)
+
+    def second(e: pa.Table) -> pa.Table:
+        e = e.rename_columns({"cluster_id": "to_cluster"})
+        e = e.filter(pc.not_equal(e["from_cluster"], e["to_cluster"])).group_by(["from_cluster", "to_cluster"], use_threads=False).aggregate([("n", "sum")])
+        return e.rename_columns({"n_sum": "n"})
+
+    of = packed.packed(members, "id", parts)
+    met = packed.meet(packed.packed(edges.select("src", "dst").where("dst IS NOT NULL"), "src", parts), "src", of, first)
+    pairs = packed.meet(met, "dst", of, second, counted, f"from_cluster {kind.simpleString()}, to_cluster {kind.simpleString()}, n bigint")
+    return pairs.groupBy("from_cluster", "to_cluster").agg(F.sum("n").alias("weight"))
+
+
 def drift(history: DataFrame) -> DataFrame:
     """The history of summaries with drift: 1 - cosine to the centroid of the same cluster in its snapshot before; null in its first."""
     w = Window.partitionBy("cluster_id").orderBy("snapshot_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumengraph import runtime
 from lumengraph.functions import ed25519, scalar, vector
-from lumengraph.operators import changes, clusters, graph, importance, index, lexical, search, sync
+from lumengraph.operators import changes, clusters, graph, importance, index, lexical, packed, search, sync
 from lumengraph.plans import hql
 from lumengraph.session import Store, nearest_language
 from lumengraph.sources import tables
@@ -131,6 +131,31 @@ def test_gaps_of_unconnected_clusters(spark):
     assert pairs(require_disconnected=True) == {(1, 4), (2, 4)}
 
 
+def test_edges_go_packed_to_many_members(spark):
+    """More members than may be broadcast aren't, whatever bytes Spark expects of them."""
+    n = runtime.BROADCAST_ROWS + 1000
+    m = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") % 11 > 0, F.col("id") % 7).alias("cluster_id"))
+    e = spark.range(300_000).select(F.concat(F.lit("n"), F.col("id") % 1000 * 300).alias("src"), F.concat(F.lit("n"), F.col("id") * 7919 % (n + 5000)).alias("dst"))
+    out = clusters.meta_edges(e, m)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    of = lambda i: i % 7 if i < n and i % 11 else None
+    want = collections.Counter((of(i % 1000 * 300), of(i * 7919 % (n + 5000))) for i in range(300_000))
+    assert {(r.from_cluster, r.to_cluster): r.weight for r in out.collect()} == {k: w for k, w in want.items() if None not in k and k[0] != k[1]}
+
+
+def test_packed_meta_edges_like_joins(spark, monkeypatch):
+    """Odd ids, nulls, repeated edges and members of two clusters; few rows at a time, and clusters of other types."""
+    monkeypatch.setattr(packed, "ROWS", 100)
+    r = random.Random(1)
+    ids = [f"n{i}" for i in range(300)] + ["é", "", "a\nb", "007", "7"]
+    e = spark.createDataFrame([(r.choice([*ids, "x", None]), r.choice([*ids, "y", None])) for _ in range(3000)] + [("n1", "n2")] * 1000, "src string, dst string")
+    m = spark.createDataFrame([(i, r.choice([None, 1, 2, 3, 4])) for i in ids] + [("n5", 9), ("n5", 9), (None, 3)], "id string, cluster_id bigint")
+    for c in (m, m.withColumn("cluster_id", F.concat(F.lit("c"), F.col("cluster_id").cast("string")))):
+        got, want = clusters.packed_meta_edges(e, c, 7), clusters.meta_edges(e, c)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not clusters.packed_meta_edges(e.limit(0), m, 7).collect() and not clusters.packed_meta_edges(e, m.limit(0), 7).collect()
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ('search Node similar to [1, -0.5] k 3 language "th" as of "2024-01-01T00:00:00Z"', hql.Search("Node", (1.0, -0.5), 3, False, "th", "2024-01-01T00:00:00Z")),
     ('TRAVERSE FROM ~"two words" DEPTH 2 REL INFER(part_of)', hql.Traverse("two words", 2, "part_of", True, True)),
