@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lumengraph.operators import clusters
 from lumengraph.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,6 +33,14 @@ def test_same_rows_as_sql(spark, duck, sf, name):
     assert ordered(map(tuple, df.select(*cols).collect())) == ordered(want)
 
 
+@pytest.mark.parametrize("name", ["a7_meta_edges", "t15_meta_neighbors"])
+def test_packed_edges_give_the_same_rows_as_sql(spark, duck, sf, name, monkeypatch):
+    """As with more members than may be broadcast."""
+    monkeypatch.setattr(clusters, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(clusters, "PART_MEMBERS", 300)
+    test_same_rows_as_sql(spark, duck, sf, name)
+
+
 def test_every_query_has_sql():
     """But the approximate search, which the tests hold against brute force."""
     assert set(catalog.queries()) - set(catalog.oracles()) == {"v8_indexed_search"}
