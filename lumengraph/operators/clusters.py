@@ -52,21 +52,25 @@ def meta_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def packed_meta_edges(edges: DataFrame, members: DataFrame, parts: int) -> DataFrame:
-    """meta_edges() by so many parts of the members (id, cluster_id). The edges of a part are opened some at a time."""
+    """meta_edges() by about so many ranges of the members' ids (id, cluster_id). The edges of a part are opened some at a time; those with an end before all members or after them stay where they are."""
     kind = members.schema["cluster_id"].dataType
     counted = pa.schema([("from_cluster", to_arrow_type(kind)), ("to_cluster", to_arrow_type(kind)), ("n", pa.int64())])
+    members = members.where("id IS NOT NULL")
+    least, greatest, n = members.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    at = packed.bounds(members, "id", parts, n)
 
     def first(e: pa.Table) -> pa.Table:
         e = e.rename_columns({"cluster_id": "from_cluster"}).group_by(["from_cluster", "dst"], use_threads=False).aggregate([([], "count_all")])
-        return packed.pack(e.rename_columns({"count_all": "n"}), "dst", parts)
+        return packed.pack(e.rename_columns({"count_all": "n"}), "dst", at)
 
     def second(e: pa.Table) -> pa.Table:
         e = e.rename_columns({"cluster_id": "to_cluster"})
         e = e.filter(pc.not_equal(e["from_cluster"], e["to_cluster"])).group_by(["from_cluster", "to_cluster"], use_threads=False).aggregate([("n", "sum")])
         return e.rename_columns({"n_sum": "n"})
 
-    of = packed.packed(members, "id", parts)
-    met = packed.meet(packed.packed(edges.select("src", "dst").where("dst IS NOT NULL"), "src", parts), "src", of, first)
+    of = packed.packed(members, "id", at)
+    among = F.col("src").between(F.lit(least), F.lit(greatest)) & F.col("dst").between(F.lit(least), F.lit(greatest))
+    met = packed.meet(packed.packed(edges.select("src", "dst").where(among), "src", at), "src", of, first)
     pairs = packed.meet(met, "dst", of, second, counted, f"from_cluster {kind.simpleString()}, to_cluster {kind.simpleString()}, n bigint")
     return pairs.groupBy("from_cluster", "to_cluster").agg(F.sum("n").alias("weight"))
 

@@ -12,7 +12,7 @@ from ..operators import clusters, filters, graph, importance, index
 from ..session import Store
 from ..sources import tables
 from .base import EDGES, IMPACTS, NODES, query
-from .on_graph import dealt, parts
+from .on_graph import all_edges, dealt, parts
 from .on_vectors import SHIFT, first_vector, hits, hybrid, nodes
 
 NOW = "1998-01-01T00:00:00+00:00"
@@ -138,7 +138,7 @@ def inferred_alias(spark, sf_dir):
 @query("t15_meta_neighbors", f"WITH {EDGES}, c AS (SELECT 'O-' || o_orderkey AS id, CAST(o_custkey % 10 AS BIGINT) AS k FROM orders UNION ALL SELECT 'P-' || p_partkey, CAST(p_partkey % 10 AS BIGINT) FROM part UNION ALL SELECT 'S-' || s_suppkey, CAST(s_suppkey % 10 AS BIGINT) FROM supplier) SELECT DISTINCT CAST(a.k AS VARCHAR) AS seed, CAST(b.k AS VARCHAR) AS id, 1 AS depth FROM edges JOIN c a ON a.id = src JOIN c b ON b.id = dst WHERE a.k <> b.k")
 def meta_neighbors(spark, sf_dir):
     """From every theme, those that edges tie to it."""
-    s = Store(*parts(spark, sf_dir))
+    s = Store(tables.business_nodes(spark, sf_dir), all_edges(spark, sf_dir))
     s.meta = runtime.checkpointed(clusters.meta_edges(s.edges, dealt(spark, sf_dir)))
     return s.meta_neighbors(range(10), 1).select("seed", "id", "depth")
 

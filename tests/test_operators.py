@@ -156,6 +156,34 @@ def test_packed_meta_edges_like_joins(spark, monkeypatch):
     assert not clusters.packed_meta_edges(e.limit(0), m, 7).collect() and not clusters.packed_meta_edges(e, m.limit(0), 7).collect()
 
 
+def test_packed_edges_grow_with_the_table(spark, monkeypatch):
+    """Copies with shifted keys, parts in their number: each takes about as many bytes, and ends that are no members stay. Hashed parts took 24 times the bytes for 10 times the copies."""
+    meet, sizes = packed.meet, []
+    monkeypatch.setattr(packed, "meet", lambda left, *more: sizes.append(left.agg(F.sum(F.length("rows"))).first()[0]) or meet(left, *more))
+    key = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    i, copy = F.col("id"), F.floor(F.col("id") / 4000)
+
+    def moved(n):
+        e = spark.range(0, 4000 * n, 1, 2).select(key("O-", 10**6 + copy * 1000 + i * 7919 % 1000).alias("src"), key("P-", 10**6 + copy * 100 + F.pmod(F.xxhash64("id"), F.lit(100))).alias("dst"))
+        m = spark.range(1000 * n).select(key("O-", 10**6 + i).alias("id"), (i % 10).alias("c")).union(spark.range(100 * n).select(key("P-", 10**6 + i), i % 10)).withColumnRenamed("c", "cluster_id")
+        outside = e.select("src", key("C-", F.substring("dst", 3, 9)).alias("dst"))
+        sizes.clear()
+        got = clusters.packed_meta_edges(e.union(outside), m, n).collect()
+        assert len(got) == 90 and sum(r.weight for r in got) < 4000 * n
+        return sum(sizes)
+
+    assert moved(40) < 10.5 * moved(4) < 10.5 * 4 * 4000 * 3
+
+
+def test_packed_distinct_like_distinct(spark, monkeypatch):
+    monkeypatch.setattr(packed, "ROWS", 100)
+    r = random.Random(2)
+    t = spark.createDataFrame([(r.choice([None, 7, *range(60)]), r.choice([None, *range(20)])) for _ in range(3000)] + [(5, 5)] * 500, "a bigint, b int").repartition(3)
+    for x, by in ((t, "a"), (t, "b"), (t.select(F.col("a").cast("string").alias("a"), "b"), "a"), (t.where("a = 7"), "a"), (t.select(F.lit(None).cast("bigint").alias("a"), "b"), "a"), (t.limit(0), "a")):
+        got = packed.distinct(x, by)
+        assert got.dtypes == x.dtypes and sorted(map(str, got.collect())) == sorted(map(str, x.distinct().collect()))
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ('search Node similar to [1, -0.5] k 3 language "th" as of "2024-01-01T00:00:00Z"', hql.Search("Node", (1.0, -0.5), 3, False, "th", "2024-01-01T00:00:00Z")),
     ('TRAVERSE FROM ~"two words" DEPTH 2 REL INFER(part_of)', hql.Traverse("two words", 2, "part_of", True, True)),
